@@ -207,7 +207,7 @@ class Recurrence:
     def __init__(self, docs: DataFrame, kind: Kind):
         self.kind = kind
         self.parts = shuffle_partitions(docs.sparkSession)
-        self.groups = 2 * self.parts
+        self.groups, self.buckets = 2 * self.parts, self.parts
         keyed = docs.selectExpr("cast(doc_id as long) doc_id", "text", f"cast(pmod(xxhash64(doc_id, text), {self.groups}) as int) g")
         self.docs = keyed.repartition(self.parts, "g")
 
@@ -215,7 +215,7 @@ class Recurrence:
         return sent.groupBy("bucket").applyInArrow(lambda t: _answer(t, answer), "g int, kind int, payload binary")
 
     def anchors(self) -> DataFrame:
-        kind, buckets = self.kind, self.groups
+        kind, buckets = self.kind, self.buckets
 
         def send(table: pa.Table) -> pa.Table:
             rows, found, where = rows_of(table), [], []
@@ -230,7 +230,7 @@ class Recurrence:
         return self._lookup(self.docs.groupBy("g").applyInArrow(send, "bucket int, g int, payload binary"), 0)
 
     def common_windows(self, anchors: DataFrame) -> DataFrame:
-        kind, buckets = self.kind, self.groups
+        kind, buckets = self.kind, self.buckets
 
         def send(key: tuple, table: pa.Table, messages: pa.Table) -> pa.Table:
             known = _known(messages, 0)
@@ -253,7 +253,7 @@ class Recurrence:
 
     def segments(self, answers: DataFrame) -> DataFrame:
         """Rows with shard >= 0 carry distinct segments; with shard -1, where a group has them."""
-        kind, shards = self.kind, self.groups
+        kind, shards = self.kind, self.buckets
 
         def send(key: tuple, table: pa.Table, messages: pa.Table) -> pa.Table:
             anchors, windows = _known(messages, 0), _known(messages, 1)
