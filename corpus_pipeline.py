@@ -50,9 +50,10 @@ def personal_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds domain and rate; documents with rate zero (such as toxic ones) go."""
+    """Adds domain and rate; documents whose most likely domain has no target (the toxic ones) go, others stay with their rate."""
     found = mixing.mixed(docs.withColumn("row_text", F.col("text")), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return found.where("rate > 0").withColumnRenamed("row_text", "text").select(*docs.columns, "domain", F.round("rate", 6).alias("rate"))
+    wanted = [d for d, share in mixing.TARGETS.items() if share > 0]
+    return found.where(F.col("domain").isin(*wanted, "all")).withColumnRenamed("row_text", "text").select(*docs.columns, "domain", F.round("rate", 6).alias("rate"))
 
 
 STAGES = [

@@ -33,6 +33,8 @@ SHINGLE, PERCENT = 4, 85
 CELL_BITS, CELL_CHUNKS = 18, 64
 #: Up to this many sets a list is compared pair by pair; longer ones have a centre.
 SMALL = 8
+#: Members of a centre that are compared with as many others in one task.
+MEMBERS = 100
 WIDTH = 6  # bytes of each hash sent for comparison
 
 
@@ -139,13 +141,14 @@ def _unpacked(payloads: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def possible(size_a, pos_a, size_b, pos_b):
-    """Length and position bounds for two entries of a list."""
+    """Length and position bounds for two entries of a list, taken as the first element both sets have: all
+    they share stands at or after it. Linked sets pass in the list of their first common element at least."""
     need = needed_overlap(size_a, size_b)
-    return (np.minimum(size_a, size_b) >= need) & (1 + np.minimum(size_a - pos_a, size_b - pos_b) - 1 >= need - np.minimum(pos_a, pos_b))
+    return (np.minimum(size_a, size_b) >= need) & (np.minimum(size_a - pos_a, size_b - pos_b) >= need)
 
 
 def list_pairs(bucketed: DataFrame) -> DataFrame:
-    """kind 0: pairs a < b to compare; kind 1: long lists, packed, with their centre in a."""
+    """kind 0: pairs a < b to compare; kind 1: long lists, packed, with their shingle in b."""
 
     def run(table: pa.Table) -> pa.Table:
         token, sid, size, pos = _unpacked(table.column("payload").to_pylist())
@@ -164,13 +167,10 @@ def list_pairs(bucketed: DataFrame) -> DataFrame:
                 for j in range(i + 1, n):
                     pairs.append(np.stack((at + i, at + j)))
         for a, n in zip(first[count > SMALL].tolist(), count[count > SMALL].tolist(), strict=True):
-            own = np.arange(a, a + n)
-            centre = a + n // 2
-            pairs.append(np.stack((own, np.full(n, centre)))[:, own != centre])
             kinds.append(1)
-            left.append(int(sid[centre]))
+            left.append(None)
             right.append(int(token[a].astype(np.int64)))
-            packs.append(pack(sid[own], size[own], pos[own]))
+            packs.append(pack(sid[a : a + n], size[a : a + n], pos[a : a + n]))
         if pairs:
             i, j = np.concatenate(pairs, axis=1)
             ok = possible(size[i], pos[i], size[j], pos[j])
@@ -186,7 +186,7 @@ def list_pairs(bucketed: DataFrame) -> DataFrame:
 
 
 def overlaps(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (a, b) plus the sets' sizes and what they have in common, compared exactly."""
+    """pairs (a, b) plus the sets' sizes and what they have in common, compared exactly; for sets that share half or more also the elements only one has."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
     holder = rows.join(wanted, "sid", "leftsemi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
 
@@ -208,16 +208,21 @@ def overlaps(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            na, nb, common = [], [], []
+            na, nb, common, only_a, only_b = [], [], [], [], []
             for x, y in zip(batch.column("elements_a").to_pylist(), batch.column("elements_b").to_pylist(), strict=True):
                 x, y = numbers(x), numbers(y)
-                merged = np.sort(np.concatenate((x, y)))
+                in_y = np.isin(x, y, assume_unique=True)
+                c = int(in_y.sum())
+                near = 2 * c >= max(len(x), len(y))
                 na.append(len(x))
                 nb.append(len(y))
-                common.append(int((merged[1:] == merged[:-1]).sum()))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(na, pa.int64()), pa.array(nb, pa.int64()), pa.array(common, pa.int64())], names=["a", "b", "size_a", "size_b", "common"])
+                common.append(c)
+                only_a.append(x[~in_y].tobytes() if near else None)
+                only_b.append(y[~np.isin(y, x, assume_unique=True)].tobytes() if near else None)
+            columns = [batch.column("a"), batch.column("b"), *[pa.array(x, pa.int64()) for x in (na, nb, common)], *[pa.array(x, pa.binary()) for x in (only_a, only_b)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "size_a", "size_b", "common", "only_a", "only_b"])
 
-    return both.mapInArrow(compare, "a long, b long, size_a long, size_b long, common long").dropDuplicates(["a", "b"])
+    return both.mapInArrow(compare, "a long, b long, size_a long, size_b long, common long, only_a binary, only_b binary").dropDuplicates(["a", "b"])
 
 
 def linked(compared: DataFrame) -> DataFrame:
@@ -244,20 +249,96 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
 
 
-def undecided(lists: DataFrame, compared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of long lists that neither connection nor the centre's answers decide."""
+def long_entries(lists: DataFrame) -> DataFrame:
+    """token, sid, size, pos, centre, centre_size, centre_pos of each entry of a long list.
+
+    The centre of a list is the member that stands in most long lists: the text that others were
+    made from keeps all its shingles, so one centre serves nearly all lists of a group of copies.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for centre, token, p in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("payload").to_pylist(), strict=True):
+            for token, p in zip(batch.column("b").to_pylist(), batch.column("payload").to_pylist(), strict=True):
                 sid, size, pos = unpack(p)
-                n = len(sid)
-                yield pa.RecordBatch.from_arrays([pa.array([token] * n, pa.int64()), pa.array([centre] * n, pa.int64()), pa.array(sid), pa.array(size), pa.array(pos)], names=["token", "centre", "sid", "size", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array([token] * len(sid), pa.int64()), pa.array(sid), pa.array(size), pa.array(pos)], names=["token", "sid", "size", "pos"])
+
+    entries = staged(lists.select("b", "payload").mapInArrow(spread, "token long, sid long, size int, pos int"), "entries")
+    votes = entries.groupBy("sid").agg(F.count(F.lit(1)).alias("votes"))
+    best = entries.join(votes, "sid").groupBy("token").agg(F.max_by(F.struct("sid", "size", "pos"), F.struct("votes", F.col("sid"))).alias("c"))
+    centres = best.select("token", F.col("c.sid").alias("centre"), F.col("c.size").alias("centre_size"), F.col("c.pos").alias("centre_pos"))
+    return staged(entries.join(centres, "token"), "centred")
+
+
+def centre_pairs(entries: DataFrame) -> DataFrame:
+    """Pairs a < b of entries with their list's centre that pass the length and position bounds."""
+    need = F.ceil(PERCENT * (F.col("size") + F.col("centre_size")) / (100 + PERCENT))
+    left = F.least(F.col("size") - F.col("pos"), F.col("centre_size") - F.col("centre_pos"))
+    ok = (F.col("sid") != F.col("centre")) & (left >= need)
+    return entries.where(ok).select(F.least("sid", "centre").alias("a"), F.greatest("sid", "centre").alias("b")).distinct()
 
-    entries = lists.select("a", "b", "payload").mapInArrow(spread, "token long, centre long, sid long, size int, pos int")
-    entries = staged(entries.join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "entries")
+
+def derived_links(entries: DataFrame, compared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links between sets near the same centre, from what each differs in from the centre:
+    |x & y| = |c| - |c - x| - |c - y| + |(c - x) & (c - y)| + |(x - c) & (y - c)|, which is exact.
+
+    Members of a centre are dealt into blocks of about MEMBERS and every two blocks meet in a task of
+    their own; a task skips connected pairs and emits a forest of links, never all pairs.
+    """
+    same = compared.where("only_a is not null")
+    turned = same.select(F.col("b").alias("sid"), F.col("a").alias("centre"), F.col("size_a").alias("whole"), F.col("only_a").alias("missing"), F.col("only_b").alias("added"))
+    both = same.select(F.col("a").alias("sid"), F.col("b").alias("centre"), F.col("size_b").alias("whole"), F.col("only_b").alias("missing"), F.col("only_a").alias("added")).unionByName(turned)
+    members = both.join(entries.select("sid", "centre").distinct(), ["sid", "centre"]).join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    members = staged(members, "members")
+    groups = members.groupBy("centre").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").selectExpr("centre", f"cast(ceil(n / {MEMBERS}) as int) blocks")
+    dealt = members.join(groups, "centre").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+
+    def solve(table: pa.Table) -> pa.Table:
+        sid, root, block, whole = (table.column(c).to_numpy() for c in ("sid", "root", "block", "whole"))
+        missing = [np.frombuffer(x, np.int64) for x in table.column("missing").to_pylist()]
+        added = [np.frombuffer(x, np.int64) for x in table.column("added").to_pylist()]
+        crossing = table.column("low")[0].as_py() != table.column("high")[0].as_py()
+        less, more = np.array([len(x) for x in missing]), np.array([len(x) for x in added])
+        size = whole - less + more
+        holders: dict[tuple, list] = {}
+        parent = {int(r): int(r) for r in root}
+
+        def find(r: int) -> int:
+            while parent[r] != r:
+                parent[r] = parent[parent[r]]
+                r = parent[r]
+            return r
+
+        found = []
+        for i in range(len(sid)):
+            shared = np.zeros(i, np.int64)
+            for kind, values in ((0, missing[i]), (1, added[i])):
+                for e in values.tolist():
+                    own = holders.setdefault((kind, e), [])
+                    shared[own] += 1
+                    own.append(i)
+            if i == 0:
+                continue
+            overlap = whole[i] - less[i] - less[:i] + shared
+            ok = 100 * overlap >= PERCENT * (size[i] + size[:i] - overlap)
+            if crossing:
+                ok &= block[:i] != block[i]
+            for j in np.flatnonzero(ok).tolist():
+                x, y = find(int(root[i])), find(int(root[j]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    found.append((int(sid[i]), int(sid[j])))
+        return pa.table({"a": pa.array([min(f) for f in found], pa.int64()), "b": pa.array([max(f) for f in found], pa.int64())})
+
+    return dealt.groupBy("centre", "low", "high").applyInArrow(solve, "a long, b long")
+
+
+def undecided(entries: DataFrame, compared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of long lists that neither connection nor the centre's answers decide, and that are not both near the centre."""
+    entries = staged(entries.select("token", "centre", "sid", "size", "pos").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "rooted")
     open_lists = entries.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-    answers = compared.select("a", "b", "common").unionByName(compared.select(F.col("b").alias("a"), F.col("a").alias("b"), "common")).toDF("sid", "centre", "common")
+    near = F.col("only_a").isNotNull().alias("near")
+    answers = compared.select("a", "b", "common", near).unionByName(compared.select(F.col("b").alias("a"), F.col("a").alias("b"), "common", near)).toDF("sid", "centre", "common", "near")
     known = entries.join(open_lists, "token", "leftsemi").join(answers, ["sid", "centre"], "left")
 
     def decide(table: pa.Table) -> pa.Table:
@@ -265,13 +346,14 @@ def undecided(lists: DataFrame, compared: DataFrame, roots: DataFrame) -> DataFr
         centre = table.column("centre")[0].as_py()
         common = table.column("common").to_numpy(zero_copy_only=False).astype(np.float64)
         common = np.where(sid == centre, size, common)
+        near = np.array([bool(x) for x in table.column("near").to_pylist()])
         order = np.argsort(size, kind="stable")
-        sid, size, pos, root, common = (x[order] for x in (sid, size, pos, root, common))
+        sid, size, pos, root, common, near = (x[order] for x in (sid, size, pos, root, common, near))
         out = []
         for i in range(len(sid)):
             stop = np.searchsorted(size, size[i] * 100 // PERCENT, "right")  # sizes beyond are skipped
             j = np.arange(i + 1, stop)
-            j = j[(root[j] != root[i]) & (sid[j] != centre)]
+            j = j[(root[j] != root[i]) & (sid[j] != centre) & ~(near[j] & near[i])]
             if sid[i] == centre or not len(j):
                 continue
             need = needed_overlap(size[i], size[j])
@@ -291,15 +373,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rows = found.where("kind = 0").select("doc_id", "n", "sid")
     buckets = 2 * shuffle_partitions(docs.sparkSession)
     sent = staged(list_pairs(postings(docs, rarity(found), buckets)), "pairs")
-    pairs = sent.where("kind = 0").select("a", "b").distinct()
+    entries = long_entries(sent.where("kind = 1"))
+    pairs = sent.where("kind = 0").select("a", "b").unionByName(centre_pairs(entries)).distinct()
     compared = staged(overlaps(docs, rows.where("sid is not null"), pairs), "compared")
     roots = components(linked(compared))
-    lists = sent.where("kind = 1")
-    if not lists.isEmpty():
-        more = staged(undecided(lists, compared, roots), "undecided").join(compared.select("a", "b"), ["a", "b"], "leftanti")
-        if not more.isEmpty():
-            again = staged(overlaps(docs, rows.where("sid is not null"), more), "compared-again")
-            roots = components(roots.toDF("a", "b").unionByName(linked(again)))
+    roots = components(roots.toDF("a", "b").unionByName(derived_links(entries, compared, roots)))
+    more = staged(undecided(entries, compared, roots).join(compared.select("a", "b"), ["a", "b"], "leftanti"), "undecided")
+    if not more.isEmpty():
+        again = staged(overlaps(docs, rows.where("sid is not null"), more), "compared-again")
+        roots = components(roots.toDF("a", "b").unionByName(linked(again)))
     own = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
     placed = own.join(roots, own["sid"] == roots["node"], "left").select("sid", F.coalesce("root", "sid").alias("root"), "least")
     named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sid", "component_id")
