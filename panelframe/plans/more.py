@@ -2,10 +2,68 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import learning
+from ..operators import prediction as P
+from ..operators.registry import TRANSFORMERS
+from ..sources.panel import Panel
 
-def oracles() -> dict:
-    return {}
+
+def _predicted(make: Callable[[], P.PredictionComposer], n: int = 2) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .catalog import panels
+
+        own = panels(spark, sf_dir)
+        training = None
+        if make().supervised:
+            target = TRANSFORMERS.get("lag")(own["x"], periods=-1)
+            known = own["x"].domain.grid().withColumn("value", (F.datediff("time", F.lit("1970-01-01").cast("date")) + 719163 + 31).cast("double"))
+            training = (target, Panel.from_domain(known, own["x"].domain, identity="available"))
+        found = make().compose(*[own["x"], own["y"]][:n], training=training).compute()
+        return found.lazy().withColumn("value", F.round("value", 6) + F.lit(0.0))
+
+    return query
+
+
+def _domain_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .catalog import panels
+
+    return panels(spark, sf_dir)["x"].domain.grid()
+
+
+def _elastic_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .catalog import base
+
+    df = base(spark, sf_dir).where("x is not null").withColumn("y2", F.col("y") * F.col("y"))
+    scaler = learning.RmsScaler.fit(df, ["y", "y2"])
+    gram = learning.Gram.of(scaler.transform(df), ["y", "y2"], "x")
+    model = learning.ElasticNet.fit(gram, 0.1 * learning.alpha_max(gram, 0.5), 0.5)
+    return model.predict(scaler.transform(df)).select("time", "asset_id", F.round("prediction", 4).alias("value"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {
+        "p_identity": _predicted(P.Identity, 1),
+        "p_equal_weight": _predicted(P.EqualWeight),
+        "p_ic_weighted": _predicted(lambda: P.ICWeighted(window=3)),
+        "p_ic_weighted_decay": _predicted(lambda: P.ICWeightedDecay(window=3, half_life=2.0)),
+        "p_quantile_ic_weighted": _predicted(lambda: P.QuantileICWeighted(window=3, quantiles=3)),
+        "p_ols": _predicted(lambda: P.OLS(window=3)),
+        "p_gls": _predicted(lambda: P.GLS(window=3)),
+        "domain_grid": _domain_membership,
+        "ml_elastic_net": _elastic_net,
+    }
+
+
+def oracles() -> dict[str, str]:
+    from .catalog import BASE_SQL
+
+    return {
+        "p_identity": f"WITH {BASE_SQL} SELECT time, asset_id, round(x, 6) + 0.0 AS value FROM p WHERE x IS NOT NULL",
+        "p_equal_weight": f"WITH {BASE_SQL} SELECT time, asset_id, round((coalesce(x, 0) + y) / (1.0 + CAST(x IS NOT NULL AS INT)), 6) + 0.0 AS value FROM p",
+        "domain_grid": f"WITH {BASE_SQL} SELECT time, asset_id FROM grid",
+    }
