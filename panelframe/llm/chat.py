@@ -10,7 +10,7 @@ huge conversation is many blocks.
 The result has a row for each original or inserted turn: conv_id, turn, seq, action (keep, relabel, merge, relabel_merge, insert),
 role, rendered. `rendered`, concatenated in the order of (turn, seq), is the conversation in chat format.
 Null or unknown role: any role, at a small cost. Null text: empty. Null turn: after all others. Null conv_id is
-one conversation. Ties between repairs go to the earlier option in a fixed order; rows with the same turn are
+one conversation. Of repairs that cost the same one is taken that depends on the order of the rows and the block borders only; rows with the same turn are
 ordered by role and text. An empty table gives no rows. Extra columns are ignored.
 """
 
