@@ -57,8 +57,8 @@ def features(docs: DataFrame) -> DataFrame:
     chars = F.length(text)
     out = out.withColumns(
         {
-            "symbols": _bin(_share(chars - F.length(F.translate(text, "#*$%&|<>!=", "")), chars), SHAPES["symbols"]),
-            "upper": _bin(_share(chars - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")), chars), SHAPES["upper"]),
+            "symbols": _bin(_share(chars - F.length(F.regexp_replace(text, "[#*$%&|<>!=]++", "")), chars), SHAPES["symbols"]),
+            "upper": _bin(_share(chars - F.length(F.regexp_replace(text, "[A-Z]++", "")), chars), SHAPES["upper"]),
             "distinct": _bin(_share(F.size(F.array_distinct("list")), F.col("n_words")), SHAPES["distinct"]),
             "word_length": _bin(_share(chars, F.col("n_words")), SHAPES["word_length"]),
             "words": _bin(F.col("n_words"), SHAPES["words"]),
@@ -131,11 +131,14 @@ def _inverse(m: list[list[float]]) -> list[list[float]]:
 
 
 def _rate(start: float, moves: list[list[float]]) -> Column:
-    """Rate after the moves, as an expression of p0, p1, ... that grows by one term a step."""
-    rate = F.lit(float(start))
-    for move in moves:
-        rate = F.greatest(F.lit(0.0), rate - sum((F.col(f"p{i}") * F.lit(g) for i, g in enumerate(move)), F.lit(0.0)))
-    return rate
+    """Rate after the moves. They are one array constant, so every step's plan has the same code, compiled once."""
+    if not moves:
+        return F.lit(float(start))
+
+    def moved(rate: Column, move: Column) -> Column:
+        return F.greatest(F.lit(0.0), rate - sum((F.col(f"p{i}") * move[i] for i in range(len(moves[0]))), F.lit(0.0)))
+
+    return F.aggregate(F.array(*[F.array(*[F.lit(float(g)) for g in move]) for move in moves]), F.lit(float(start)), moved)
 
 
 def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float] | None = None, keep: float = KEEP, steps: int = STEPS) -> DataFrame:
