@@ -50,10 +50,10 @@ def _bin(value: Column, cuts: tuple) -> Column:
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """docs plus tokens (n_words), terms (distinct lower-cased words) and a bin for each shape feature."""
+    """docs plus tokens (n_words), terms (lower-cased words, with repeats) and a bin for each shape feature."""
     text = F.coalesce(F.col("text"), F.lit(""))
     out = docs.withColumn("list", F.array_remove(F.split(text, r"[\x20\x09-\x0D]++", -1), ""))
-    out = out.withColumn("n_words", F.size("list").cast("long")).withColumn("terms", F.array_distinct(F.split(F.lower(text), r"[^a-z\x80-￿]++", -1)))
+    out = out.withColumn("n_words", F.size("list").cast("long")).withColumn("terms", F.split(F.lower(text), r"[^a-z\x80-￿]++", -1))
     chars = F.length(text)
     out = out.withColumns(
         {
@@ -74,7 +74,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, vocabu
     """
     label = labels.where("doc_id is not null and quality is not null and toxic is not null").select("doc_id", F.concat(F.lit("q"), "quality", F.lit("t"), "toxic").alias("domain"))
     label = staged(label.groupBy("doc_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows), "labels")
-    sample = staged(features(docs.select("doc_id", "text").join(F.broadcast(label), "doc_id")).drop("text"), "labelled")
+    sample = staged(features(docs.select("doc_id", "text").join(F.broadcast(label), "doc_id")).drop("text").withColumn("terms", F.array_distinct("terms")), "labelled")
     sizes = {r["domain"]: r["n"] for r in sample.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return {"domains": ["all"], "prior": [0.0], "shape": {}, "words": {}}
