@@ -11,6 +11,7 @@ Repeats inside one document, and rows that share a doc_id, do not count against
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -22,23 +23,42 @@ from .recur import NO_ID, Kind, Recurrence
 WORDS = 13
 PHRASES = Kind(words=True, window=WORDS, anchor=4, own=False)
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-BLOCK = 150_000
+#: Windows of one automaton: so few that its states stay in cache.
+BLOCK = 20_000
+#: Windows of a passage at most: as many as one anchor serves, so that few passages end at one word.
+PIECE = WORDS - PHRASES.anchor + 1
 #: Word codes leave out the surrogates, which are no characters.
 SKIP = 0xD800
 
 
-def least_holders(segments: list[tuple]) -> list[np.ndarray]:
-    """For each segment (content, windows, least id, most id, ...) the least id that holds each of its windows (NO_ID: only one does)."""
-    codes: dict[bytes, str] = {}
-
-    def code(word: bytes) -> str:
-        x = codes.get(word)
-        if x is None:
-            i = len(codes) + 1
-            x = codes[word] = chr(i if i < SKIP else i + 0x800)
+class _Codes(dict):
+    """A character for each word, given out as words come."""
+
+    def __missing__(self, word: bytes) -> str:
+        i = len(self) + 1
+        self[word] = x = chr(i if i < SKIP else i + 0x800)
         return x
 
-    spelled = ["".join([code(w) for w in x[0].split(b" ")]) for x in segments]
+
+def _passages(spelled: str, n: int, again: set[str]) -> Iterator[tuple[int, int]]:
+    """First window and windows of each run of confirmed windows, in pieces of at most PIECE."""
+    run = 0
+    for i in range(n + 1):
+        inside = i < n and spelled[i : i + WORDS] in again
+        if run and (not inside or run == PIECE):
+            yield i - run, run
+            run = 0
+        run += inside
+
+
+def least_holders(segments: list[tuple]) -> list[np.ndarray]:
+    """For each segment (content, windows, least id, most id, ...) the least id that holds each of its windows (NO_ID: only one does).
+
+    The automaton holds whole passages, which share the words of their windows. Each run of confirmed windows of each segment is a
+    passage, so every occurrence of a window lies in the occurrence of a passage.
+    """
+    code = _Codes().__getitem__
+    spelled = ["".join(map(code, x[0].split(b" "))) for x in segments]
     lowest: dict[str, int] = {}
     again: set[str] = set()
     for s, (_, n, low, high, _) in zip(spelled, segments, strict=True):
@@ -49,17 +69,21 @@ def least_holders(segments: list[tuple]) -> list[np.ndarray]:
                 again.add(phrase)
                 if low < had:
                     lowest[phrase] = low
-    out = [np.full(x[1], NO_ID, np.int64) for x in segments]
+    holders = [[NO_ID] * x[1] for x in segments]
     if again:
         automaton = ahocorasick.Automaton()
-        for phrase in again:
-            automaton.add_word(phrase, lowest[phrase])
+        for s, x in zip(spelled, segments, strict=True):
+            for at, n in _passages(s, x[1], again):
+                passage = s[at : at + n + WORDS - 1]
+                if passage not in automaton:
+                    automaton.add_word(passage, [lowest[passage[i : i + WORDS]] for i in range(n)])
         lowest.clear()
         automaton.make_automaton()
-        for s, holders in zip(spelled, out, strict=True):
-            for end, low in automaton.iter(s):
-                holders[end - WORDS + 1] = low
-    return out
+        for s, own in zip(spelled, holders, strict=True):
+            for end, lows in automaton.iter(s):
+                stop = end - WORDS + 2
+                own[stop - len(lows) : stop] = lows
+    return [np.array(own, np.int64) for own in holders]
 
 
 def _row(doc_id: int | None, text: bytes, found: list[tuple]) -> tuple:
