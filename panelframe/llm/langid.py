@@ -143,13 +143,19 @@ def predict(model: LanguageModel, texts: list[bytes | None]) -> tuple[list[str],
 
 
 def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> LanguageModel:
-    """Learns from text and lang of the train_rows labelled rows with the least hash of doc_id."""
-    sample = (
-        docs.where("lang is not null and text is not null")
-        .select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
-        .orderBy("h", "lang").limit(train_rows).toArrow()
-    )
-    return train(byte_texts(sample.column("text").combine_chunks()), sample.column("lang").to_pylist())
+    """Learns from text and lang of the train_rows labelled rows with the least hash of doc_id and text.
+
+    Rows are counted first, so that only those below a bound on the hash, about twice as many as wanted, are sorted;
+    should many rows be alike and the bound leave too few, it is raised.
+    """
+    labelled = docs.where("lang is not null and text is not null").select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
+    share = 2 * train_rows / max(labelled.count(), 1)
+    while True:
+        low = labelled if share >= 1 else labelled.where(F.col("h") < int(-(2.0**63) + share * 2.0**64))
+        sample = low.orderBy("h", "lang").limit(train_rows).toArrow()
+        if share >= 1 or sample.num_rows == train_rows:
+            return train(byte_texts(sample.column("text").combine_chunks()), sample.column("lang").to_pylist())
+        share *= 4
 
 
 def language_mixture(docs: DataFrame, model: LanguageModel) -> DataFrame:
