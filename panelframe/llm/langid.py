@@ -10,6 +10,7 @@ text is `und`. Ties go to the language that sorts first. Repeated rows are judge
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +31,7 @@ MIN_SHARE = 0.02
 #: Bytes that part words here: all but ASCII letters, the apostrophe and non-ASCII.
 NOT_LETTER = np.ones(256, bool)
 NOT_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
+ASCII_LETTER = re.compile(rb"[A-Za-z]")
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, languages string, proportions array<double>"
@@ -133,9 +135,8 @@ def predict(model: LanguageModel, texts: list[bytes | None]) -> tuple[list[str],
         chosen[some[better]], value[some[better]] = part[better], logs[better]
     top = chosen.argmax(axis=1)
     has = np.diff(at) > 0
-    for i in np.flatnonzero(has):  # a text of non-ASCII signs alone may have no letter
-        words = slice(at[i], at[i + 1])
-        if lengths[words].sum() < 64 and not any(c.isalpha() for c in texts[i].decode("utf-8", "replace")):
+    for i in np.flatnonzero(has):  # a text of non-ASCII signs alone may have no letter, however long it is
+        if not ASCII_LETTER.search(texts[i]) and not any(c.isalpha() for c in texts[i].decode("utf-8", "replace")):
             has[i] = False
     langs = [model.languages[j] if ok else "und" for j, ok in zip(top, has, strict=True)]
     sets = ["+".join(model.languages[j] for j in order[i] if chosen[i, j] > 0) if has[i] else "" for i in range(n)]

@@ -221,3 +221,10 @@ def test_spans_are_code_points(spark):
     d = spark.createDataFrame([(1, "éé😀 a@b.co")], "doc_id long, text string")
     r = pii.personal_data(d).select("email", pii.redact(None).alias("t")).first()
     assert (r["email"][0]["start"], r["email"][0]["end"], r["t"]) == (4, 10, "éé😀 <EMAIL>")
+
+
+def test_long_texts_without_a_letter_have_no_language():
+    model = langid.train([b"the cat and the dog"] * 9 + ["é".encode() * 40] * 9, ["en"] * 9 + ["fr"] * 9)
+    signs = ["😀" * n for n in (5, 15, 16, 500)] + ["— " * 60, "٣٤٥" * 40, "😀" * 50 + "é", "é" * 60, "1 " * 90 + "the"]
+    found = langid.predict(model, [t.encode() for t in signs])[0]
+    assert found[:6] == ["und"] * 6 and found[6] != "und" and found[7:] == ["fr", "en"]
