@@ -17,20 +17,26 @@ MIN_LANGUAGE_SHARE = 0.5
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a language (`und`) or without one that holds half of them; others stay unchanged."""
+    """Rejects texts without a language (`und`) or without one that holds half of them; others stay unchanged. Each row is judged by its own text."""
     columns = docs.columns
     model = langid.fit(docs.where(~langid.held_out()))
-    found = langid.language_mixture(docs.select("doc_id", "text", F.lit(False).alias("held_out")), model)
-    rejected = found.where(F.col("lang_pred").eqNullSafe("und") | (F.col("score") < MIN_LANGUAGE_SHARE)).select(F.col("doc_id").alias("rejected_id")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(F.col("rejected_id")), "leftanti").select(*columns)
+    others = F.struct(*[c for c in columns if c != "text"]).alias("others")
+    found = langid.language_mixture(docs.select("doc_id", "text", F.lit(False).alias("held_out"), others), model, also=("text", "others"))
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LANGUAGE_SHARE))
+    return kept.select(*["text" if c == "text" else f"others.{c}" for c in columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar documents stays: the one with the least doc_id (of rows with that id, one). Texts without words are
-    similar to nothing and stay."""
-    found = jaccard.jaccard_components(docs)
-    kept = found.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id")), "leftsemi").dropDuplicates(["doc_id"])
+    """One row of each component of similar documents stays: the one with the least doc_id (null comes last), then the least hash of
+    its text; of equal rows one. Texts without words are similar to nothing and stay."""
+    columns = docs.columns
+    found = jaccard.jaccard_components(docs).where("root is not null")
+    least = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("k"))
+    kept = least.select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_key").alias("kept_key"))
+    rows = docs.where(jaccard.has_words()).withColumn("text_key", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("text_key") == F.col("kept_key"))
+    one = rows.join(kept, same, "leftsemi").dropDuplicates(["doc_id", "text_key"])
+    return one.select(*columns).unionByName(docs.where(~jaccard.has_words()))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -62,8 +62,8 @@ def _cells(h: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """kind 0: doc_id, n, sid for each row; kind 1: counts of a chunk of cells in one task."""
-    names = ["kind", "doc_id", "n", "sid", "payload"]
+    """kind 0: doc_id, text_key, n, sid for each row; kind 1: counts of a chunk of cells in one task."""
+    names = ["kind", "doc_id", "text_key", "n", "sid", "payload"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(1 << CELL_BITS, np.int64)
@@ -74,12 +74,12 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 cells += np.bincount(_cells(np.concatenate(own)), minlength=len(cells))
                 m = b - a
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([0] * m, pa.int32()), batch.column("doc_id").slice(a, m), pa.array([len(s) for s in own], pa.int64()), pa.array([_sid(s) if len(s) else None for s in own], pa.int64()), pa.nulls(m, pa.binary())], names=names
+                    [pa.array([0] * m, pa.int32()), *[batch.column(c).slice(a, m) for c in ("doc_id", "text_key")], pa.array([len(s) for s in own], pa.int64()), pa.array([_sid(s) if len(s) else None for s in own], pa.int64()), pa.nulls(m, pa.binary())], names=names
                 )
         m, parts = CELL_CHUNKS, np.split(cells, CELL_CHUNKS)
-        yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.array(range(m), pa.int64()), pa.nulls(m, pa.int64()), pa.array([pack(p) for p in parts], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(range(m), pa.int64()), pa.nulls(m, pa.int64()), pa.array([pack(p) for p in parts], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "kind int, doc_id long, n long, sid long, payload binary")
+    return docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(run, "kind int, doc_id long, text_key long, n long, sid long, payload binary")
 
 
 def rarity(found: DataFrame) -> np.ndarray:
@@ -366,11 +366,17 @@ def undecided(entries: DataFrame, compared: DataFrame, roots: DataFrame) -> Data
     return known.groupBy("token").applyInArrow(decide, "a long, b long").distinct()
 
 
+def has_words(text: str = "text") -> F.Column:
+    """Whether a text has a word, as _sets parts them."""
+    return F.coalesce(F.rlike(F.col(text), F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (and sid, the set's hash) for each row of docs (doc_id, text)."""
+    """doc_id, n_shingles, component_id for each row of docs (doc_id, text); also sid, the set's hash, text_key, the text's,
+    and root, which tells components apart even where they share a doc_id or have none (null for texts without words)."""
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     found = staged(shingle_sets(docs), "shingle-sets")
-    rows = found.where("kind = 0").select("doc_id", "n", "sid")
+    rows = found.where("kind = 0").select("doc_id", "text_key", "n", "sid")
     buckets = 2 * shuffle_partitions(docs.sparkSession)
     sent = staged(list_pairs(postings(docs, rarity(found), buckets)), "pairs")
     entries = long_entries(sent.where("kind = 1"))
@@ -384,9 +390,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         roots = components(roots.toDF("a", "b").unionByName(linked(again)))
     own = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
     placed = own.join(roots, own["sid"] == roots["node"], "left").select("sid", F.coalesce("root", "sid").alias("root"), "least")
-    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sid", "component_id")
+    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sid", "component_id", "root")
     out = rows.join(named, "sid", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "sid")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "sid", "text_key", "root")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .arrays import word_spans
 from .common import blocks, byte_texts, laid
@@ -159,9 +160,10 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> LanguageModel:
         share *= 4
 
 
-def language_mixture(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """Adds lang_pred, score, languages and proportions to each row of docs (doc_id, text, held_out)."""
+def language_mixture(docs: DataFrame, model: LanguageModel, also: tuple[str, ...] = ()) -> DataFrame:
+    """Adds lang_pred, score, languages and proportions to each row of docs (doc_id, text, held_out); columns in `also` go along unchanged."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = StructType(StructType.fromDDL(SCHEMA).fields + docs.select(*also).schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,9 +172,11 @@ def language_mixture(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 langs, score, sets, shares = predict(shared.value, texts[a:b])
                 columns = [batch.column(c).slice(a, b - a) for c in ("doc_id", "held_out")]
                 columns += [pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.string()), pa.array(shares.tolist(), pa.list_(pa.float64()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score", "languages", "proportions"])
+                columns += [batch.column(c).slice(a, b - a) for c in also]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score", "languages", "proportions", *also])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text", "held_out").mapInArrow(run, SCHEMA)
+    others = [c for c in also if c != "text"]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out", *others).mapInArrow(run, schema)
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

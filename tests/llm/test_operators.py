@@ -228,3 +228,19 @@ def test_long_texts_without_a_letter_have_no_language():
     signs = ["😀" * n for n in (5, 15, 16, 500)] + ["— " * 60, "٣٤٥" * 40, "😀" * 50 + "é", "é" * 60, "1 " * 90 + "the"]
     found = langid.predict(model, [t.encode() for t in signs])[0]
     assert found[:6] == ["und"] * 6 and found[6] != "und" and found[7:] == ["fr", "en"]
+
+
+def test_stages_decide_by_row_where_ids_are_null_or_shared(spark):
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    a, b, c, d, e = (" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(40)) for _ in range(5))
+    rows_in = [(None, a, "en"), (None, b, "en"), (None, b, "en"), (7, c, "en"), (7, d, "en"), (8, d.upper(), "en"), (9, a, "en"), (None, e, "en"), (None, e.upper(), "en"), (None, "12 345", "en"), (5, "", "en"), (5, " ", "en"), (5, " ", "en"), (None, None, None)]
+    docs = spark.createDataFrame([(i, t, x, "s", len(t or "")) for i, t, x in rows_in], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    kept = collections.Counter((r["doc_id"], r["text"].lower() if r["text"] else r["text"]) for r in got.collect())
+    assert got.columns == docs.columns
+    assert kept == collections.Counter([(9, a), (None, b), (7, c), (7, d), (None, e), (None, "12 345"), (5, ""), (5, " "), (5, " "), (None, None)])
+    lingual = corpus_pipeline.language_stage(spark, docs, "")
+    want = collections.Counter((i, t) for i, t, _ in rows_in if t and any(x.isalpha() for x in t))
+    assert lingual.columns == docs.columns and rows(lingual.select("doc_id", "text")) == want
