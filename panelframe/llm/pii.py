@@ -177,12 +177,14 @@ def span_list(kinds: tuple[str, ...]) -> Column:
 
 
 def redact(found: DataFrame) -> Column:
-    """The text with every span replaced by its kind in brackets; of overlapping spans the one that starts first (then the longer) stays."""
+    """The text with every span replaced by its kind in brackets. Of overlapping spans the one that starts first (then the longer) comes first;
+    what another has beyond its end is replaced by that one's kind, and a span inside another has no mark of its own."""
     spans = F.array_sort(F.concat(*[F.transform(F.col(k), _marked(k)) for k in (*KINDS, "ctx")]))
 
     def add(acc: Column, x: Column) -> Column:
-        more = F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), x["mark"])
-        return F.when(x["start"] < acc["at"], acc).otherwise(F.struct((-x["minus_end"]).alias("at"), more.alias("out")))
+        between = F.substr(F.col("text"), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
+        more = F.concat(acc["out"], between, x["mark"])
+        return F.when(-x["minus_end"] <= acc["at"], acc).otherwise(F.struct((-x["minus_end"]).alias("at"), more.alias("out")))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     return F.when(F.size(spans) == 0, F.col("text")).otherwise(F.aggregate(spans, start, add, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.length("text")))))

@@ -244,3 +244,15 @@ def test_stages_decide_by_row_where_ids_are_null_or_shared(spark):
     lingual = corpus_pipeline.language_stage(spark, docs, "")
     want = collections.Counter((i, t) for i, t, _ in rows_in if t and any(x.isalpha() for x in t))
     assert lingual.columns == docs.columns and rows(lingual.select("doc_id", "text")) == want
+
+
+def test_overlapping_spans_leave_nothing_in_clear(spark):
+    texts = ["at 10.0.0.0 4111 1111 1111 1111 x", "pay 4111 1111 1111 1111 01.2.3.4 now", "a 1.2.3.4 b", "+4111 1111 1111 111 1@b.co"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.personal_data(d)
+    for r in found.select("text", *pii.KINDS, "ctx", pii.redact(found).alias("t")).collect():
+        spans = [(s["start"], s["end"], k) for k in (*pii.KINDS, "ctx") for s in r[k]]
+        covered = {i for a, b, _ in spans for i in range(a, b)}
+        assert re.sub("<[A-Z]+>", "", r["t"]) == "".join(x for i, x in enumerate(r["text"]) if i not in covered), (r["text"], spans)
+    got = [r["t"] for r in found.orderBy("doc_id").select(pii.redact(found).alias("t")).collect()]
+    assert got[0] == "at <IP><CARD> x" and got[2] == "a <IP> b"
