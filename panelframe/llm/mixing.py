@@ -22,8 +22,8 @@ from .common import staged
 
 #: Bound on the labelled rows learned from (those with the least hash of doc_id), and on the vocabulary.
 TRAIN_ROWS, VOCABULARY = 20_000, 256
-#: A vocabulary word must occur in this many labelled documents, and add this much log-likelihood in all.
-MIN_DOCS, MIN_GAIN = 20, 30.0
+#: How many words may pass for telling by chance, about: one that occurs by chance adds g to the log-likelihood with a probability of about exp(-g).
+CHANCE_WORDS = 0.1
 STEPS, TOLERANCE = 25, 1e-3
 #: Share of all kept tokens wanted of each domain (q: quality, t: toxic), and kept tokens as a share of the input's.
 TARGETS = {"q1t0": 0.95, "q0t0": 0.05, "q1t1": 0.0, "q0t1": 0.0}
@@ -85,10 +85,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, vocabu
     for k, cuts in SHAPES.items():
         model["shape"][k] = [[math.log((counts.get((d, k, b), 0) + 1) / (sizes[d] + len(cuts) + 1)) for d in domains] for b in range(len(cuts) + 1)]
     by = [F.count(F.when(F.col("domain") == d, 1)).alias(f"n_{i}") for i, d in enumerate(domains)]
-    words = sample.select("domain", F.explode("terms").alias("word")).where("word <> ''").groupBy("word").agg(*by)
+    words = staged(sample.select("domain", F.explode("terms").alias("word")).where("word <> ''").groupBy("word").agg(*by), "words")
+    least = math.log(max(words.count(), 1) / CHANCE_WORDS)
     n = sum((F.col(f"n_{i}") for i in range(len(domains))), F.lit(0))
     gain = sum((F.col(f"n_{i}") * F.ln(((F.col(f"n_{i}") + 0.01) / (sizes[d] + 0.02)) / ((n + 0.01) / (total + 0.02))) for i, d in enumerate(domains)), F.lit(0.0))
-    best = words.withColumn("n", n).withColumn("gain", gain).where((F.col("n") >= MIN_DOCS) & (F.col("gain") >= MIN_GAIN)).orderBy(F.desc("gain"), "word").limit(vocabulary)
+    best = words.withColumn("n", n).withColumn("gain", gain).where(F.col("gain") >= least).orderBy(F.desc("gain"), "word").limit(vocabulary)
     for r in best.collect():
         model["words"][r["word"]] = [math.log((r[f"n_{i}"] + 0.1) / (sizes[d] + 0.2)) - math.log((r["n"] + 0.1) / (total + 0.2)) for i, d in enumerate(domains)]
     return model

@@ -256,3 +256,14 @@ def test_overlapping_spans_leave_nothing_in_clear(spark):
         assert re.sub("<[A-Z]+>", "", r["t"]) == "".join(x for i, x in enumerate(r["text"]) if i not in covered), (r["text"], spans)
     got = [r["t"] for r in found.orderBy("doc_id").select(pii.redact(found).alias("t")).collect()]
     assert got[0] == "at <IP><CARD> x" and got[2] == "a <IP> b"
+
+
+@pytest.mark.parametrize("copies", [1, 20])
+def test_telling_words_are_found_in_small_and_large_tables(spark, copies):
+    rng = random.Random(3)
+    common = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30)]
+    base = [(" ".join(rng.choices(common, k=20)) + (" clown" if i < 8 else "") + (" scum" if 5 <= i < 12 else ""), int(i < 12)) for i in range(80)]
+    made = [(k * 80 + i, t, toxic) for k in range(copies) for i, (t, toxic) in enumerate(base)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in made], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, toxic) for i, _, toxic in made], "doc_id long, quality int, toxic int")
+    assert {"clown", "scum"} <= set(mixing.fit(docs, labels)["words"])
