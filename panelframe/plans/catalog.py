@@ -240,10 +240,7 @@ def _run(name: str, inputs: list[str], params: dict, registry) -> Callable[[Spar
         own = panels(spark, sf_dir)
         op = registry.get(name)
         aux = {k: own[params[k]] for k in op.panels} | ({op.many: [own[v] for v in params[op.many]]} if op.many else {})
-        graph = op(*[own[i] for i in inputs], **{**params, **aux})
-        if name == "power_df":  # beyond this, powers differ in the last digits between engines
-            return result(graph).withColumn("value", F.when(F.abs("value") < 1e6, F.col("value")))
-        return result(graph)
+        return result(op(*[own[i] for i in inputs], **{**params, **aux}))
 
     return query
 

@@ -135,3 +135,22 @@ def test_entry_works():
 
     assert len(__spark_entry__.queries()) >= 130
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_power_query_returns_all_values(spark):
+    from panelframe.plans import catalog
+
+    sf_dir = "/root/testdata/sf0.001"
+    x = {(r["time"], r["asset_id"]): r["x"] for r in catalog.base(spark, sf_dir).collect()}
+    got = {(r["time"], r["asset_id"]): r["value"] for r in catalog.queries()["c_power_df"](spark, sf_dir).collect()}
+
+    def power(v):
+        try:
+            return v**v if v else 1.0
+        except OverflowError:
+            return math.inf if v > 0 or v % 2 == 0 else -math.inf
+
+    assert set(x) <= set(got) and any(v is not None and v >= 1e6 for v in got.values())
+    for key, value in got.items():
+        v = x.get(key)
+        assert value is None if v is None else value == pytest.approx(power(v), rel=1e-9, abs=1e-6)
