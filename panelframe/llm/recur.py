@@ -1,7 +1,7 @@
 """Finds strings of a fixed number of units (words or bytes) that recur anywhere in a corpus.
 
-Texts are dealt once into groups by a hash of the row; every later pass works on a group and
-small packed messages, so a text is shuffled once.
+Texts are dealt once into groups by a hash of the row and kept as a table bucketed by group; every later pass reads
+that table and joins small packed messages to it, so a text is shuffled once.
 
 1. Anchors. Each window of W units chooses the least k-unit hash inside it. Equal windows choose equal
    anchors, so an anchor hash that a corpus holds once rules its windows out. Groups send their distinct anchor
@@ -11,16 +11,19 @@ small packed messages, so a text is shuffled once.
    are left, and these are alike wherever they occur, so no bucket gathers all the contexts.
 3. Segments: runs of windows that share an anchor and may recur. Each distinct segment of a group
    goes to the shard of its anchor, with its counts; equal windows always meet in one shard.
-4. A shard decides by exact comparison (the operators differ here) and answers each group.
+4. A shard decides by exact comparison and answers each group (the operators differ here).
 5. Groups apply the answers to their texts.
 
+A text is held whole by the task of its group, however long; numpy work on it goes in rounds of CUT windows. An empty table
+gives empty tables in every pass.
+
 Every group, bucket and shard has a size set by spark.sql.shuffle.partitions; a lost executor costs the
 recomputation of its groups, as every pass is deterministic in the rows of a group.
 """
 
 from __future__ import annotations
 
-import pickle
+import json
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import BYTE_HASH, U64, gram_hashes, span_hashes, window_anchors, word_spans
-from .common import blocks, byte_texts, laid, shuffle_partitions, staged
+from .common import blocks, bucketed, byte_texts, discard, laid, shuffle_partitions, staged
 
 COMMON = 24
 #: Windows looked at in one round of numpy calls; a longer text is cut, with overlap.
@@ -51,12 +54,26 @@ class Kind:
     own: bool
 
 
-def pack(*arrays) -> bytes:
-    return zlib.compress(pickle.dumps(arrays, protocol=5), 1)
+def pack(*parts: np.ndarray | bytes) -> bytes:
+    """Arrays and bytes as one compressed cell: a JSON head with kinds and sizes, then the raw bytes."""
+    head = json.dumps([["", len(x)] if isinstance(x, bytes) else [x.dtype.str, *x.shape] for x in parts]).encode()
+    body = b"".join(x if isinstance(x, bytes) else x.tobytes() for x in parts)
+    return zlib.compress(len(head).to_bytes(4, "little") + head + body, 1)
 
 
 def unpack(data: bytes) -> tuple:
-    return pickle.loads(zlib.decompress(data))  # noqa: S301  written by pack() in the same query
+    data = zlib.decompress(data)
+    at = 4 + int.from_bytes(data[:4], "little")
+    out = []
+    for kind, *shape in json.loads(data[4:at]):
+        if kind:
+            x = np.frombuffer(data, np.dtype(kind), int(np.prod(shape)), at).reshape(shape)
+            at += x.nbytes
+        else:
+            x = data[at : at + shape[0]]
+            at += shape[0]
+        out.append(x)
+    return tuple(out)
 
 
 @dataclass
@@ -209,7 +226,7 @@ class Recurrence:
         self.parts = shuffle_partitions(docs.sparkSession)
         self.groups, self.buckets = 2 * self.parts, self.parts
         keyed = docs.selectExpr("cast(doc_id as long) doc_id", "text", f"cast(pmod(xxhash64(doc_id, text), {self.groups}) as int) g")
-        self.docs = keyed.repartition(self.parts, "g")
+        self.docs = bucketed(keyed, "g", self.parts, "texts")
 
     def _lookup(self, sent: DataFrame, answer: int) -> DataFrame:
         return sent.groupBy("bucket").applyInArrow(lambda t: _answer(t, answer), "g int, kind int, payload binary")
@@ -251,8 +268,8 @@ class Recurrence:
         sent = self.docs.groupBy("g").cogroup(anchors.groupBy("g")).applyInArrow(send, "bucket int, g int, payload binary")
         return self._lookup(sent, 1)
 
-    def segments(self, answers: DataFrame) -> DataFrame:
-        """Rows with shard >= 0 carry distinct segments; with shard -1, where a group has them."""
+    def segments(self, answers: DataFrame, places: bool) -> DataFrame:
+        """Rows with bucket >= 0 carry distinct segments to a shard; with bucket -1 (if places) where a group has them."""
         kind, shards = self.kind, self.buckets
 
         def send(key: tuple, table: pa.Table, messages: pa.Table) -> pa.Table:
@@ -280,7 +297,8 @@ class Recurrence:
                         for x, y in ((hashes, h), (sizes, n), (contents, content), (least, doc), (most, doc), (counts, 0)):
                             x.append(y)
                     least[i], most[i], counts[i] = min(least[i], doc), max(most[i], doc), counts[i] + 1
-                    occ.append((i, a + t, s))
+                    if places:
+                        occ.append((i, a + t, s))
             index.clear()
             out_b, out_p = [], []
             if contents:
@@ -292,16 +310,38 @@ class Recurrence:
                     take = lambda values, kind_=np.int64: np.array([values[i] for i in own], kind_)  # noqa: E731,B023
                     out_b.append(int(which[own[0]]))
                     out_p.append(pack(own.astype(np.int32), hash_array[own], take(sizes), take(least), take(most), np.minimum(take(counts), 2), take([len(c) for c in contents]), b"".join([contents[i] for i in own])))
-                out_b.append(-1)
-                out_p.append(pack(np.array(occ, np.int64), np.array(sizes, np.int64)))
+                if places:
+                    out_b.append(-1)
+                    out_p.append(pack(np.array(occ, np.int64), np.array(sizes, np.int64)))
             return _messages(out_b, [g] * len(out_b), out_p)
 
         return staged(self.docs.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(send, "bucket int, g int, payload binary"), "segments")
 
-    def run(self, solve: Callable, apply: Callable, schema: str, block: int) -> DataFrame:
-        """solve(segments of some anchors) gives an array for each segment; apply(text, windows, answers) a row's result."""
+    def candidates(self, places: bool) -> DataFrame:
+        """The first three passes."""
         anchors = staged(self.anchors(), "anchors")
-        sent = self.segments(anchors.unionByName(staged(self.common_windows(anchors), "windows")))
+        windows = staged(self.common_windows(anchors), "windows")
+        out = self.segments(anchors.unionByName(windows), places)
+        discard(anchors, windows)
+        return out
+
+    def with_messages(self, messages: DataFrame, rows_for: Callable, schema: str) -> DataFrame:
+        """rows_for(rows of a group, its message payloads by kind) gives tuples of the schema's columns."""
+        names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+        types = {"long": pa.int64(), "string": pa.string()}
+
+        def finish(key: tuple, table: pa.Table, sent: pa.Table) -> pa.Table:
+            by_kind: dict[int, list] = {}
+            for k, p in zip(sent.column("kind").to_pylist(), sent.column("payload").to_pylist(), strict=True):
+                by_kind.setdefault(k, []).append(p)
+            out = rows_for(rows_of(table), by_kind)
+            return pa.table({n: pa.array([r[j] for r in out], types[k]) for j, (n, k) in enumerate(zip(names, kinds, strict=True))})
+
+        return self.docs.groupBy("g").cogroup(messages.groupBy("g")).applyInArrow(finish, schema)
+
+    def run(self, solve: Callable, apply: Callable, schema: str, block: int) -> DataFrame:
+        """solve(segments of some anchors) gives an array for each segment; apply(id, text, [(first window, array)]) a row's result."""
+        sent = self.candidates(places=True)
 
         def decide(table: pa.Table) -> pa.Table:
             answers: dict[int, list] = {}
@@ -315,28 +355,21 @@ class Recurrence:
         decided = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(decide, "g int, kind int, payload binary")
         maps = sent.where("bucket = -1").selectExpr("g", "1 as kind", "payload")
 
-        def finish(key: tuple, table: pa.Table, messages: pa.Table) -> pa.Table:
-            rows, verdict, occ = rows_of(table), {}, np.zeros((0, 3), np.int64)
-            packs = list(zip(messages.column("kind").to_pylist(), messages.column("payload").to_pylist(), strict=True))
-            sizes = np.zeros(0, np.int64)
-            for k, p in packs:
-                if k == 1:
-                    occ, sizes = unpack(p)
-            for k, p in packs:
-                if k == 0:
-                    own, flat = unpack(p)
-                    at = np.append(0, np.cumsum(sizes[own]))
-                    for j, i in enumerate(own.tolist()):
-                        verdict[i] = flat[at[j] : at[j + 1]]
+        def rows_for(rows: Rows, sent: dict[int, list]) -> list[tuple]:
+            verdict, occ, sizes = {}, np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
+            for p in sent.get(1, []):
+                occ, sizes = unpack(p)
+            for p in sent.get(0, []):
+                own, flat = unpack(p)
+                at = np.append(0, np.cumsum(sizes[own]))
+                for j, i in enumerate(own.tolist()):
+                    verdict[i] = flat[at[j] : at[j + 1]]
             by_row: dict[int, list] = {}
             for i, t, s in occ.tolist():
                 by_row.setdefault(t, []).append((s, verdict[i]))
-            out = [(rows.ids[t], *apply(rows.ids[t], rows.texts[t], by_row.get(t, []))) for t in range(len(rows.ids))]
-            names = [x.split()[0] for x in schema.split(", ")]
-            types = {"long": pa.int64(), "string": pa.string()}
-            return pa.table({n: pa.array([r[j] for r in out], types[x.split()[1]]) for j, (n, x) in enumerate(zip(names, schema.split(", "), strict=True))})
+            return [(rows.ids[t], *apply(rows.ids[t], rows.texts[t], by_row.get(t, []))) for t in range(len(rows.ids))]
 
-        return self.docs.groupBy("g").cogroup(decided.unionByName(maps).groupBy("g")).applyInArrow(finish, schema)
+        return self.with_messages(decided.unionByName(maps), rows_for, schema)
 
 
 def merged(table: pa.Table, block: int) -> Iterator[list]:
