@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,7 +31,7 @@ def clip(v: Column, low: Column, high: Column) -> Column:
     return F.when(v < low, low).when(v > high, high).otherwise(v)
 
 
-def by(*keys: str) -> WindowSpec:
+def by(*keys: str | Column) -> WindowSpec:
     return W.partitionBy(*keys)
 
 
@@ -43,26 +43,28 @@ def trailing(window: int) -> WindowSpec:
     return asset_order().rowsBetween(-(window - 1), 0)
 
 
-def average_rank(v: Column, *keys: str) -> Column:
+def average_rank(v: Column, *keys: str | Column) -> Column:
     """1-based rank with ties averaged, among non-null values of the keys' group."""
     return F.when(v.isNotNull(), F.rank().over(W.partitionBy(*keys).orderBy(v.asc_nulls_last())) + (F.count(v).over(W.partitionBy(*keys, v)) - 1) / 2.0)
 
 
-def percent_rank(v: Column, *keys: str) -> Column:
+def percent_rank(v: Column, *keys: str | Column) -> Column:
     return average_rank(v, *keys) / F.count(v).over(by(*keys))
 
 
-def dense_percent(v: Column, *keys: str) -> Column:
-    """Dense rank over the number of distinct values, where a null counts as one."""
-    rank = F.dense_rank().over(W.partitionBy(*keys).orderBy(v.asc_nulls_last()))
-    count = F.size(F.collect_set(v).over(by(*keys))) + F.max(v.isNull().cast("int")).over(by(*keys))
-    return F.when(v.isNotNull(), rank / count)
+def dense_percent(df: DataFrame, *keys: str) -> DataFrame:
+    """value becomes its dense rank over the number of distinct values, where a null counts as one: nulls come last, so that is the largest rank."""
+    rank = F.dense_rank().over(W.partitionBy(*keys).orderBy(F.col("value").asc_nulls_last()))
+    ranked = df.withColumn("_rank", rank).withColumn("_ranks", F.max("_rank").over(by(*keys)))
+    return ranked.withColumn("value", F.when(F.col("value").isNotNull(), F.col("_rank") / F.col("_ranks"))).drop("_rank", "_ranks")
 
 
-def nearest_quantile(v: Column, q: float, *keys: str) -> Column:
-    """The value at the nearest rank to q * (n - 1), half away from zero."""
-    values = F.sort_array(F.collect_list(nn(v)).over(by(*keys)))
-    return F.when(F.size(values) > 0, F.element_at(values, (F.floor(F.lit(q) * (F.size(values) - 1) + 0.5) + 1).cast("int")))
+def nearest_quantiles(df: DataFrame, quantiles: dict[str, float], key: str) -> DataFrame:
+    """Adds a column for each quantile: the key's value at the nearest rank to q * (n - 1), half away from zero. One sort for all."""
+    v = nn(F.col("value"))
+    ranked = df.withColumn("_at", F.row_number().over(W.partitionBy(key).orderBy(v.asc_nulls_last()))).withColumn("_n", F.count(v).over(by(key)))
+    at = {c: F.floor(F.lit(q) * (F.col("_n") - 1) + 0.5) + 1 for c, q in quantiles.items()}
+    return ranked.withColumns({c: F.max(F.when(F.col("_at") == i, v)).over(by(key)) for c, i in at.items()}).drop("_at", "_n")
 
 
 def gated(x: Column, v: Column, frame: WindowSpec, least: int) -> Column:

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+
+#: Windows handled in one round of numpy calls.
+ROUND = 1 << 14
 
 
 def decay(com=None, span=None, halflife=None, alpha=None) -> float:
@@ -27,37 +31,26 @@ def decay(com=None, span=None, halflife=None, alpha=None) -> float:
 
 
 def ewm(values: np.ndarray, alpha: float, adjust: bool, ignore_na: bool, min_periods: int, bias: bool | None) -> np.ndarray:
-    """Exponentially weighted mean (bias None) or variance; missing rows stay missing."""
+    """Exponentially weighted mean (bias None) or variance, zero for a single value; missing rows stay missing."""
+    weighted = pd.Series(values).ewm(alpha=alpha, adjust=adjust, ignore_na=ignore_na, min_periods=0)
+    here = ~np.isnan(values)
+    n = np.cumsum(here)
+    out = weighted.mean().to_numpy() if bias is None else np.where(n == 1, 0.0, weighted.var(bias=bias).to_numpy())
+    return np.where(here & (n >= max(min_periods, 1)), out, np.nan)
+
+
+def rolling_rank(values: np.ndarray, window: int, least: int, share: bool) -> np.ndarray:
+    """Average rank (or its share) of the last present value among the present values of each trailing window."""
+    padded = np.concatenate((np.full(window - 1, np.nan), values))
+    at = np.maximum.accumulate(np.where(np.isnan(padded), -1, np.arange(len(padded))))
     out = np.full(len(values), np.nan)
-    keep, new = 1 - alpha, 1.0 if adjust else alpha
-    mean = var = 0.0
-    total = squares = old = 0.0
-    n = 0
-    for i, x in enumerate(values):
-        if np.isnan(x):
-            if n and not ignore_na:
-                total, squares, old = total * keep, squares * keep * keep, old * keep
-            continue
-        n += 1
-        if n == 1:
-            mean, var, total, squares, old = x, 0.0, 1.0, 1.0, 1.0
-        else:
-            total, squares, old = total * keep + new, squares * keep * keep + new * new, old * keep
-            before, whole = mean, old + new
-            mean = (old * mean + new * x) / whole
-            var = (old * (var + (before - mean) ** 2) + new * (x - mean) ** 2) / whole
-            old = whole if adjust else 1.0
-            if not adjust:
-                total, squares = total / whole, squares / whole / whole
-        if n < max(min_periods, 1):
-            continue
-        if bias is None:
-            out[i] = mean
-        elif n == 1:
-            out[i] = 0.0
-        else:
-            scale = total * total - squares
-            out[i] = var if bias else var * total * total / scale if scale > 0 else np.nan
+    for first in range(0, len(values), ROUND):  # bounds the memory of a long series
+        view = np.lib.stride_tricks.sliding_window_view(padded[first : first + ROUND + window - 1], window)
+        now = np.arange(first, first + len(view)) + window - 1
+        last = np.where(at[now] > now - window, padded[at[now]], np.nan)[:, None]
+        n = (~np.isnan(view)).sum(axis=1)
+        rank = (view < last).sum(axis=1) + ((view == last).sum(axis=1) + 1) / 2
+        out[first : first + len(view)] = np.where(n >= least, rank / np.maximum(n, 1) if share else rank, np.nan)
     return out
 
 
@@ -72,18 +65,25 @@ def residuals(y: np.ndarray, x: np.ndarray, intercept: bool) -> np.ndarray:
 
 
 def _least_squares(a: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.linalg.lstsq(a, y, rcond=None)[0]
+    """Least squares of the least norm, for a stack of systems; rows of zeros do not count."""
+    return (np.linalg.pinv(a, rcond=max(a.shape[1:]) * np.finfo(float).eps) @ y[..., None])[..., 0]
+
+
+def _sums(a: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    turned = a.transpose(0, 2, 1)
+    return turned @ a, (turned @ y[..., None])[..., 0]
 
 
 def _ridge(alpha: float):
     def fit(a: np.ndarray, y: np.ndarray) -> np.ndarray:
-        penalty = alpha * np.eye(a.shape[1])
-        penalty[0, 0] = 0
-        gram, target = a.T @ a + penalty, a.T @ y
-        try:
-            return np.linalg.solve(gram, target)
-        except np.linalg.LinAlgError:
-            return np.linalg.pinv(gram) @ target
+        gram, target = _sums(a, y)
+        free = np.arange(1, a.shape[2])  # the intercept has no penalty
+        gram[:, free, free] += alpha
+        singular = np.linalg.matrix_rank(gram, hermitian=True) < a.shape[2]
+        out = np.empty_like(target)
+        out[~singular] = np.linalg.solve(gram[~singular], target[~singular][..., None])[..., 0]
+        out[singular] = (np.linalg.pinv(gram[singular], hermitian=True) @ target[singular][..., None])[..., 0]
+        return out
 
     return fit
 
@@ -92,21 +92,24 @@ def _elastic(alpha: float, l1_ratio: float, max_iter: int, tolerance: float):
     l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio)
 
     def fit(a: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Cyclic coordinate descent on the Gram matrix: intercept first, then the factors."""
-        gram, target = a.T @ a, a.T @ y
-        beta = np.zeros(a.shape[1])
-        beta[0] = y.mean()
+        """Cyclic coordinate descent on the Gram matrices, intercepts first; a system stops when its own steps are small."""
+        gram, target = _sums(a, y)
+        beta = np.zeros_like(target)
+        beta[:, 0] = target[:, 0] / gram[:, 0, 0]
+        going = np.arange(len(beta))
         for _ in range(max_iter):
-            largest = 0.0
-            for j in range(len(beta)):
-                rho = target[j] - gram[j] @ beta + gram[j, j] * beta[j]
-                if j == 0:
-                    new = rho / gram[0, 0]
-                else:
-                    bottom = gram[j, j] + l2
-                    new = np.sign(rho) * max(abs(rho) - l1, 0.0) / bottom if bottom else np.nan
-                largest, beta[j] = max(largest, abs(new - beta[j])), new
-            if largest <= tolerance:
+            g, t, b = gram[going], target[going], beta[going]
+            largest = np.zeros(len(going))
+            for j in range(b.shape[1]):
+                rho = t[:, j] - np.einsum("ij,ij->i", g[:, j], b) + g[:, j, j] * b[:, j]
+                bottom = g[:, j, j] + (l2 if j else 0.0)
+                top = np.sign(rho) * np.maximum(np.abs(rho) - l1, 0.0) if j else rho
+                new = np.where(bottom != 0, top / np.where(bottom != 0, bottom, 1.0), np.nan)
+                largest = np.fmax(largest, np.abs(new - b[:, j]))
+                b[:, j] = new
+            beta[going] = b
+            going = going[largest > tolerance]
+            if not len(going):
                 break
         return beta
 
@@ -117,14 +120,20 @@ FITS = {"ols": lambda: _least_squares, "ridge": _ridge, "elastic_net": _elastic}
 
 
 def rolling_fit(y: np.ndarray, x: np.ndarray, window: int, fit) -> np.ndarray:
-    """Prediction for each row from a fit (with intercept) on the complete rows among the window rows before it."""
-    out = np.full(len(y), np.nan)
-    a = np.column_stack((np.ones(len(y)), x))
-    complete = np.isfinite(y) & np.isfinite(x).all(axis=1)
+    """Prediction for each row from a fit (with intercept) on the complete rows among the window rows before it.
+
+    The windows of many rows are one stack of systems; rows that are not complete are rows of zeros in it."""
+    n, out = len(y), np.full(len(y), np.nan)
     usable = np.isfinite(x).all(axis=1)
-    for t in range(window, len(y)):
-        own = slice(t - window, t)
-        if usable[t] and complete[own].any():
-            ok = complete[own]
-            out[t] = a[t] @ fit(a[own][ok], y[own][ok])
+    complete = usable & np.isfinite(y)
+    a = np.column_stack((np.ones(n), np.where(usable[:, None], x, 0.0)))
+    rows, right = np.where(complete[:, None], a, 0.0), np.where(complete, y, 0.0)
+    seen = np.append(0, np.cumsum(complete))
+    at = np.arange(window, n)
+    at = at[usable[at] & (seen[at] > seen[at - window])]
+    step = max(1, ROUND * 16 // (window * a.shape[1]))
+    for first in range(0, len(at), step):
+        now = at[first : first + step]
+        which = now[:, None] - window + np.arange(window)
+        out[now] = np.einsum("ij,ij->i", a[now], fit(rows[which], right[which]))
     return out

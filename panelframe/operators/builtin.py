@@ -9,13 +9,14 @@ from numbers import Real
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.expressions import (
-    asset_order, average_rank, by, clip, dense_percent, gated, ieee_div, nearest_quantile, nn, number, percent_rank, present, trailing, with_ddof,
+    asset_order, average_rank, by, clip, dense_percent, gated, ieee_div, nearest_quantiles, nn, number, percent_rank, present, trailing, with_ddof,
 )
 from .registry import composer, transformer
 
@@ -148,32 +149,52 @@ def _rolling_zscore(v: Column, w, ddof: int = 1) -> Column:
     return F.when(std > 0, (F.last(nn(v), True).over(w) - F.avg(nn(v)).over(w)) / F.when(std > 0, std))
 
 
-def _rolling_rank(v: Column, w) -> Column:
-    values, last = F.collect_list(nn(v)).over(w), F.last(nn(v), True).over(w)
-    return F.size(F.filter(values, lambda x: x < last)) + (F.size(F.filter(values, lambda x: x == last)) + 1) / 2.0
+_rolling("rolling_zscore", _rolling_zscore)
 
 
-_rolling("rolling_zscore", _rolling_zscore)
-_rolling("rolling_rank", _rolling_rank)
-_rolling("rolling_percentile", lambda v, w: _rolling_rank(v, w) / F.count(nn(v)).over(w))
+#: Groups of assets for each shuffle partition: enough to even them out, few enough that a group is worth its overhead.
+GROUPS_EACH = 4
 
 
 def _by_asset(df: DataFrame, f) -> DataFrame:
-    """f(pandas rows of an asset by time) gives the new values; other columns stay."""
+    """f(arrays of an asset's columns by time; missing is nan) gives the new values; other columns stay. A group holds many assets."""
+    names = ["value", *_factors(df)]
+    groups = GROUPS_EACH * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("asset_id", "ascending"), ("time", "ascending")])
+        asset = table.column("asset_id").combine_chunks().dictionary_encode().indices.to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(asset)) + 1).tolist(), len(asset)]
+        arrays = {c: table.column(c).to_numpy().astype(float) for c in names}
+        values = np.concatenate([f({c: x[a:b] for c, x in arrays.items()}) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        out = table.drop_columns("_group")
+        return out.set_column(out.schema.get_field_index("value"), "value", pa.array(values, pa.float64(), mask=np.isnan(values)))
+
+    return df.withColumn("_group", F.pmod(F.xxhash64("asset_id"), F.lit(groups))).groupBy("_group").applyInArrow(run, df.schema)
+
+
+def _factors(df: DataFrame) -> list[str]:
+    return sorted((c for c in df.columns if c[0] == "v" and c[1:].isdigit()), key=lambda c: int(c[1:]))
+
+
+def _ranked(name: str, share: bool):
+    @transformer(name, dense=True, trace="rolling_max", frame=True)
+    def run(df: DataFrame, window: int, min_periods: int | None = None) -> DataFrame:
+        least = _count(window, "window") if min_periods is None else _count(min_periods, "min_periods", 0)
+        if least > window:
+            raise ValueError("min_periods exceeds window")
+        return _by_asset(df, lambda x: kernels.rolling_rank(x["value"], window, max(least, 1), share))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("time", kind="stable")
-        values = np.asarray(f(pdf), dtype=float)
-        return pdf.assign(value=pd.Series(values, index=pdf.index).astype(object).where(~np.isnan(values), None))
 
-    return df.groupBy("asset_id").applyInPandas(run, df.schema)
+_ranked("rolling_rank", False)
+_ranked("rolling_percentile", True)
 
 
 def _ewm(name: str, bias_of, last=lambda x: x):
     @transformer(name, dense=True, trace="rolling_max", frame=True)
     def run(df: DataFrame, com=None, span=None, halflife=None, alpha=None, min_periods: int = 0, adjust: bool = True, ignore_na: bool = False, **more) -> DataFrame:
         a, bias = kernels.decay(com, span, halflife, alpha), bias_of(**more)
-        return _by_asset(df, lambda pdf: last(kernels.ewm(pdf["value"].to_numpy(float), a, adjust, ignore_na, min_periods, bias)))
+        return _by_asset(df, lambda x: last(kernels.ewm(x["value"], a, adjust, ignore_na, min_periods, bias)))
 
     return run
 
@@ -194,7 +215,7 @@ def _steps(df: DataFrame, *steps) -> DataFrame:
     return reduce(lambda d, f: d.withColumn("value", f(F.col("value"))), steps, df)
 
 
-def _zscore(v: Column, *keys: str) -> Column:
+def _zscore(v: Column, *keys: str | Column) -> Column:
     return ieee_div(v - F.avg(v).over(by(*keys)), F.stddev_samp(v).over(by(*keys)))
 
 
@@ -224,7 +245,6 @@ def _quantiles(lower: float, upper: float) -> tuple[float, float]:
 
 for _name, _f in {
     "rank": lambda v: percent_rank(v, "time"),
-    "rankpct": lambda v: dense_percent(v, "time"),
     "nrank": lambda v: 2 * percent_rank(v, "time") - 1,
     "logrank": lambda v: F.ln(percent_rank(v, "time")),
     "log_rank": lambda v: F.ln(percent_rank(v, "time")),
@@ -240,44 +260,45 @@ for _name, _f in {
     transformer(_name)(_f)
 
 
-@transformer("winsorize")
-def _winsorize(v: Column, lower: float = 0.01, upper: float = 0.99) -> Column:
-    lower, upper = _quantiles(lower, upper)
-    return clip(v, nearest_quantile(v, lower, "time"), nearest_quantile(v, upper, "time"))
+transformer("rankpct", frame=True)(lambda df: dense_percent(df, "time"))
 
 
-@transformer("trim_quantile")
-def _trim_quantile(v: Column, lower: float = 0.01, upper: float = 0.99) -> Column:
+def _between_quantiles(df: DataFrame, lower: float, upper: float, f) -> DataFrame:
     lower, upper = _quantiles(lower, upper)
-    return F.when(v.between(nearest_quantile(v, lower, "time"), nearest_quantile(v, upper, "time")), v)
+    return nearest_quantiles(df, {"_low": lower, "_high": upper}, "time").withColumn("value", f(F.col("value"), F.col("_low"), F.col("_high"))).drop("_low", "_high")
+
+
+@transformer("winsorize", frame=True)
+def _winsorize(df: DataFrame, lower: float = 0.01, upper: float = 0.99) -> DataFrame:
+    return _between_quantiles(df, lower, upper, clip)
+
+
+@transformer("trim_quantile", frame=True)
+def _trim_quantile(df: DataFrame, lower: float = 0.01, upper: float = 0.99) -> DataFrame:
+    return _between_quantiles(df, lower, upper, lambda v, low, high: F.when(v.between(low, high), v))
 
 
 # Groups and auxiliary panels -----------------------------------------------------------------
 
-_G = ("time", "v1")
 for _name, _f in {
-    "group_rank": lambda v, g: average_rank(v, *_G),
-    "group_percentile": lambda v, g: percent_rank(v, *_G),
-    "group_rankpct": lambda v, g: dense_percent(v, *_G),
-    "group_mean": lambda v, g: F.avg(v).over(by(*_G)),
-    "group_max": lambda v, g: F.max(v).over(by(*_G)),
-    "group_min": lambda v, g: F.min(v).over(by(*_G)),
-    "group_median": lambda v, g: F.median(v).over(by(*_G)),
-    "group_std": lambda v, g: F.stddev_samp(v).over(by(*_G)),
-    "group_demean": lambda v, g: v - F.avg(v).over(by(*_G)),
-    "group_zscore": lambda v, g: _zscore(v, *_G),
+    "group_rank": lambda v, g: average_rank(v, "time", g),
+    "group_percentile": lambda v, g: percent_rank(v, "time", g),
+    "group_mean": lambda v, g: F.avg(v).over(by("time", g)),
+    "group_max": lambda v, g: F.max(v).over(by("time", g)),
+    "group_min": lambda v, g: F.min(v).over(by("time", g)),
+    "group_median": lambda v, g: F.median(v).over(by("time", g)),
+    "group_std": lambda v, g: F.stddev_samp(v).over(by("time", g)),
+    "group_demean": lambda v, g: v - F.avg(v).over(by("time", g)),
+    "group_zscore": lambda v, g: _zscore(v, "time", g),
 }.items():
     transformer(_name, trace="parent_max", panels=("group",))(_f)
 
+transformer("group_rankpct", trace="parent_max", panels=("group",), frame=True)(lambda df: dense_percent(df, "time", "v1").drop("v1"))
 transformer("project", trace="parent_max", panels=("binary",))(lambda v, b: F.when(b == 1.0, v))
 transformer("mask", trace="parent_max", panels=("mask_frame",))(lambda v, m, replace_value=math.nan: F.when(F.coalesce(nn(m), number(0)).cast("boolean"), v).otherwise(number(replace_value)))
 transformer("vol_scale", trace="parent_max", panels=("volatility",))(lambda v, s: ieee_div(v, s))
 
 
-def _factors(df: DataFrame) -> list[str]:
-    return sorted((c for c in df.columns if c[0] == "v" and c[1:].isdigit()), key=lambda c: int(c[1:]))
-
-
 @transformer("orthogonalize", trace="parent_max", many="factors", frame=True)
 def _orthogonalize(df: DataFrame, fit_intercept: bool = False) -> DataFrame:
     names = _factors(df)
@@ -299,7 +320,7 @@ def _regression(name: str, method: str, settings):
     def run(df: DataFrame, window: int, **more) -> DataFrame:
         _count(window, "window")
         names, fit = _factors(df), kernels.FITS[method](*settings(**more))
-        return _by_asset(df, lambda pdf: kernels.rolling_fit(pdf["value"].to_numpy(float), pdf[names].to_numpy(float), window, fit))
+        return _by_asset(df, lambda x: kernels.rolling_fit(x["value"], np.column_stack([x[c] for c in names]), window, fit))
 
     return run
 
@@ -370,8 +391,8 @@ def _pair(a: Column, b: Column) -> tuple[Column, Column]:
 def _rolling_corr(a: Column, b: Column, window: int, min_periods: int | None = None) -> Column:
     least = _count(window, "window") if min_periods is None else _count(min_periods, "min_periods", 0)
     w, (a, b) = trailing(window), _pair(a, b)
-    varied = (F.var_pop(a).over(w) > 0) & (F.var_pop(b).over(w) > 0)
-    return F.when(varied, gated(F.corr(a, b).over(w), a, w, max(least, 2)))
+    scale = F.sqrt(F.var_pop(a).over(w) * F.var_pop(b).over(w))  # zero if a side is flat
+    return gated(clip(F.covar_pop(a, b).over(w) / F.when(scale > 0, scale), number(-1), number(1)), a, w, max(least, 2))
 
 
 @composer("rolling_cov", dense=True)

@@ -84,7 +84,7 @@ class PredictionComposer:
 
     def __init_subclass__(cls) -> None:
         if cls.kind:
-            PREDICTIONS.add(cls.kind, cls)
+            PREDICTIONS[cls.kind] = cls
 
     def parameters(self) -> dict:
         return dict(self._parameters)

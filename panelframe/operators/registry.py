@@ -6,26 +6,20 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 
-class Registry:
-    def __init__(self) -> None:
-        self._items: dict[str, object] = {}
+class Catalog(dict):
+    """Operators by name. A name means one operator for good: there is no replacing."""
 
-    def add(self, name: str, item) -> None:
-        if name in self._items:
-            raise ValueError(f"{name} is registered already")
-        self._items[name] = item
+    def __setitem__(self, name: str, item) -> None:
+        if self.setdefault(name, item) is not item:
+            raise ValueError(f"the name {name} is taken")
 
-    def get(self, name: str):
-        try:
-            return self._items[name]
-        except KeyError:
-            raise KeyError(f"no operator {name}") from None
+    def __missing__(self, name: str):
+        raise KeyError(f"unknown operator {name}; known are {', '.join(sorted(self))}")
 
-    def names(self) -> list[str]:
-        return sorted(self._items)
+    get = dict.__getitem__
 
 
-TRANSFORMERS, COMPOSERS, PREDICTIONS = Registry(), Registry(), Registry()
+TRANSFORMERS, COMPOSERS, PREDICTIONS = Catalog(), Catalog(), Catalog()
 
 
 @dataclass(frozen=True)
@@ -70,7 +64,7 @@ def transformer(name: str, *, dense: bool = False, trace: str = "pass", panels:
 
     def register(f: Callable) -> Operator:
         op = Operator(name, "transformer", Contract(dense, trace), None if frame else f, f if frame else None, panels, many)
-        TRANSFORMERS.add(name, op)
+        TRANSFORMERS[name] = op
         return op
 
     return register
@@ -79,7 +73,7 @@ def transformer(name: str, *, dense: bool = False, trace: str = "pass", panels:
 def composer(name: str, *, arity: int | None = 2, dense: bool = False, frame: bool = False):
     def register(f: Callable) -> Operator:
         op = Operator(name, "composer", Contract(dense, "parent_max"), None if frame else f, f if frame else None, arity=arity)
-        COMPOSERS.add(name, op)
+        COMPOSERS[name] = op
         return op
 
     return register
@@ -90,7 +84,7 @@ def custom_transformer(name: str, contract: Contract | None = None):
 
     def register(f: Callable) -> Operator:
         op = Operator(name, "transformer", contract or Contract(), None, f, builtin=False)
-        TRANSFORMERS.add(name, op)
+        TRANSFORMERS[name] = op
         return op
 
     return register
@@ -99,7 +93,7 @@ def custom_transformer(name: str, contract: Contract | None = None):
 def custom_composer(name: str, contract: Contract | None = None):
     def register(f: Callable) -> Operator:
         op = Operator(name, "composer", contract or Contract(), None, f, arity=None, builtin=False)
-        COMPOSERS.add(name, op)
+        COMPOSERS[name] = op
         return op
 
     return register

@@ -37,11 +37,22 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("time", F.col("l_suppkey").cast("string").alias("asset_id"), F.when(~hole, F.col("q")).cast("double").alias("x"), "y", (F.col("l_suppkey") % 5).cast("string").alias("g"))
 
 
+_kept: dict[tuple[str, str], DataFrame] = {}
+
+
+def kept_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """base(), kept in the executors' memory and disk: all panels, the calendar and the universe of a session read lineitem once.
+    A lost executor's part is made again."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _kept:
+        _kept[key] = base(spark, sf_dir).persist()
+    return _kept[key]
+
+
 def panels(spark: SparkSession, sf_dir: str) -> dict[str, Panel]:
-    frame = base(spark, sf_dir)
-    domain = Domain(spark, frame.select("time"), frame.select("asset_id"), identity="months-suppliers")
-    make = lambda kind, c: kind.from_domain(frame.select("time", "asset_id", F.col(c).alias("value")), domain, identity=c)
-    return {"x": make(Panel, "x"), "y": make(Panel, "y"), "g": make(CategoryPanel, "g")}
+    frame = kept_base(spark, sf_dir)
+    domain = Domain.of(frame, identity=f"months-suppliers {sf_dir}")
+    return Panel.columns_of(frame, domain, {"x": Panel, "y": Panel, "g": CategoryPanel}, identity=f"lineitem {sf_dir}")
 
 
 def result(graph: Graph) -> DataFrame:

@@ -140,9 +140,6 @@ def lower_operator(op: Operator, plans: list[Plan], params: dict, literals: dict
         columns = [F.col(v) for v in values]
         for at, x in sorted(literals.items()):
             columns.insert(at, number(x))
-        if op.panels or op.name.startswith("group_"):  # group keys are named v1 in expressions
-            plan = replace(plan, steps=plan.steps | {f"v{i}": F.col(v) for i, v in enumerate(values) if i})
-            columns = [columns[0], *[F.col(f"v{i}") for i in range(1, len(values))]]
         return plan.step(name, op.column(*columns, **params), _trace_columns(op, plan, params))
     wide = plan.wide()
     own = wide.select(*KEYS, F.col(values[0]).alias("value"), *[F.col(v).alias(f"v{i}") for i, v in enumerate(values[1:], 1)], *[F.col(c).alias(t) for t, c in plan.traces.items()])
@@ -304,7 +301,7 @@ class Runtime:
             self.plan(node)
         for node in graph.outputs:
             plan = self.plan(node)
-            out[node.name] = (PredictionPanel if plan.prediction else Panel)(plan.frame(), plan.domain, traces=tuple(plan.traces), identity=_identity(plan.root_id, plan.value))
+            out[node.name] = (PredictionPanel if plan.prediction else Panel)(plan.frame(), plan.domain, traces=tuple(plan.traces), identity=_identity(plan.root_id, plan.value), dense=plan.dense)
         return out
 
     def plan(self, node: Node) -> Plan:
@@ -316,7 +313,10 @@ class Runtime:
     def _lower(self, node: Node) -> Plan:
         if node.kind == "panel":
             p = node.payload
-            return rooted(p.frame, _identity(p.identity, id(p)), p.domain, p.trace_columns, prediction=isinstance(p, PredictionPanel))
+            if p.shared is not None:  # a column of a frame that other panels are columns of, too
+                wide, identity, column = p.shared
+                return Plan(wide, identity, {}, column, {}, p.domain)
+            return rooted(p.frame, _identity(p.identity, id(p)), p.domain, p.trace_columns, p.dense, isinstance(p, PredictionPanel))
         plans = [self.plan(p) for p in node.parents]
         if any(not p.domain.equivalent_to(plans[0].domain) for p in plans[1:]):
             raise PanelError("the inputs have different domains")

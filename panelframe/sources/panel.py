@@ -41,6 +41,7 @@ class Domain:
             self._active = None
         self.universe = self._keys(universe, "asset_id", "string").dropna().distinct()
         self._identity = identity
+        self.source: DataFrame | None = None
 
     def _keys(self, values, name: str, kind: str) -> DataFrame:
         if isinstance(values, DataFrame):
@@ -51,9 +52,11 @@ class Domain:
         return renamed.select(date_column(renamed).alias(name)) if kind == "date" else renamed.select(F.col(name).cast("string").alias(name))
 
     @classmethod
-    def of(cls, frame: DataFrame) -> Domain:
+    def of(cls, frame: DataFrame, *, identity: str | None = None) -> Domain:
         """The dates and assets that occur in a frame."""
-        return cls(frame.sparkSession, frame.select("time"), frame.select("asset_id"))
+        domain = cls(frame.sparkSession, frame.select("time"), frame.select("asset_id"), identity=identity)
+        domain.source = frame
+        return domain
 
     @property
     def is_dynamic(self) -> bool:
@@ -98,12 +101,11 @@ class Domain:
         return self.calendar.withColumn("to", moved.over(order)).where("to is not null")
 
     def signature(self) -> str:
+        """Counts and hash sums of the keys: aggregations, whatever the size of the universe."""
         if self._identity is None:
-            keys = {"times": [str(t) for t in self.times()], "assets": self.asset_ids()}
-            if self.is_dynamic:
-                row = self._active.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*KEYS).cast("decimal(38,0)")).alias("h")).first()
-                keys["active"] = [row["n"], str(row["h"])]
-            self._identity = hashlib.sha256(json.dumps(keys, sort_keys=True).encode()).hexdigest()
+            parts = [self.calendar, self.universe, *([self._active] if self.is_dynamic else [])]
+            sums = [p.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*p.columns).cast("decimal(38,0)")), F.sum(F.crc32(F.concat_ws("|", *p.columns)))).first() for p in parts]
+            self._identity = hashlib.sha256(json.dumps([[str(x) for x in r] for r in sums]).encode()).hexdigest()
         return self._identity
 
     def equivalent_to(self, other: Domain) -> bool:
@@ -115,9 +117,11 @@ class Panel:
 
     value_type = "double"
 
-    def __init__(self, frame: DataFrame, domain: Domain, *, traces: Sequence[str] = (), identity: str | None = None):
-        self.frame, self.domain, self.trace_columns = frame, domain, tuple(traces)
+    def __init__(self, frame: DataFrame, domain: Domain, *, traces: Sequence[str] = (), identity: str | None = None, dense: bool = False):
+        """dense: frame has a row for every active key of the domain."""
+        self.frame, self.domain, self.trace_columns, self.dense = frame, domain, tuple(traces), dense
         self.identity = identity or f"panel-{id(self):x}"
+        self.shared: tuple[DataFrame, str, str] | None = None
 
     @classmethod
     def from_domain(cls, data: DataFrame, domain: Domain, *, trace_columns: Iterable[str] = (), identity: str | None = None, validate: bool = False) -> Panel:
@@ -128,13 +132,30 @@ class Panel:
         kind = dict(data.dtypes)["value"]
         if cls.value_type == "double" and (kind in ("string", "boolean", "date", "timestamp", "binary") or kind.startswith(("array", "map", "struct"))):
             raise PanelError(f"a panel needs numbers, not {kind}")
-        value = F.col("value").cast(cls.value_type)
-        frame = data.select(date_column(data).alias("time"), F.col("asset_id").cast("string").alias("asset_id"), (nn(value) if cls.value_type == "double" else value).alias("value"), *trace_columns)
+        frame = data.select(date_column(data).alias("time"), F.col("asset_id").cast("string").alias("asset_id"), cls._normal("value").alias("value"), *trace_columns)
         panel = cls(domain.restrict(frame), domain, traces=tuple(trace_columns), identity=identity)
         if validate:
             cls._check(frame)
         return panel
 
+    @classmethod
+    def _normal(cls, column: str):
+        value = F.col(column).cast(cls.value_type)
+        return nn(value) if cls.value_type == "double" else value
+
+    @staticmethod
+    def columns_of(data: DataFrame, domain: Domain, kinds: dict[str, type[Panel]], *, identity: str | None = None) -> dict[str, Panel]:
+        """A panel for each named column of data. Graphs over them need no join, as they stay columns of one frame."""
+        identity = identity or f"columns-{id(data):x}"
+        wide = data.select(date_column(data).alias("time"), F.col("asset_id").cast("string").alias("asset_id"), *[kind._normal(c).alias(c) for c, kind in kinds.items()])
+        if domain.source is not data:  # else all keys lie in the domain
+            wide = domain.restrict(wide)
+        out = {}
+        for c, kind in kinds.items():
+            out[c] = kind(wide.select(*KEYS, F.col(c).alias("value")), domain, identity=f"{identity}-{c}")
+            out[c].shared = (wide, identity, c)
+        return out
+
     @staticmethod
     def _check(frame: DataFrame) -> None:
         if not frame.where("time is null or asset_id is null").isEmpty():
@@ -153,7 +174,7 @@ class Panel:
         return self
 
     def lazy(self, *, dense: bool = False, include_traces: bool = False) -> DataFrame:
-        frame = self.domain.align(self.frame) if dense else self.frame
+        frame = self.domain.align(self.frame) if dense and not self.dense else self.frame
         value = nn(F.col("value")) if self.value_type == "double" else F.col("value")
         return frame.select(*KEYS, value.alias("value"), *(self.trace_columns if include_traces else ()))
 

@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from panelframe.operators import builtin  # noqa: F401
 from panelframe.operators.prediction import quantile_rank_information_coefficient
 from panelframe.operators.registry import COMPOSERS, TRANSFORMERS
 from panelframe.plans.graph import Graph, GraphSpec, GraphValidationError
-from panelframe.sources.panel import Domain, Panel, PanelError, PredictionPanel
+from panelframe.sources.panel import CategoryPanel, Domain, Panel, PanelError, PredictionPanel
 
 T, C = TRANSFORMERS.get, COMPOSERS.get
 
@@ -32,30 +33,87 @@ def values(graph):
     return out
 
 
+def table(rng, n_assets, n_days, choices):
+    return {f"s{i}": [rng.choice(choices) for _ in range(n_days)] for i in range(n_assets)}
+
+
 def test_division_by_zero_is_missing(spark):
-    a, b = panel(spark, {"a": [2.0], "b": [-3.0], "c": [6.0]}), panel(spark, {"a": [0.0], "b": [-0.0], "c": [2.0]})
-    assert values(C("div")(a, b)) == {"a": [None], "b": [None], "c": [3.0]}
+    tops, bottoms = table(random.Random(1), 6, 5, [-7.5, 0.0, 4.0, None]), table(random.Random(2), 6, 5, [0.0, -0.0, 0.5, -2.0])
+    want = {k: [None if x is None or y == 0 else x / y for x, y in zip(tops[k], bottoms[k])] for k in tops}
+    assert values(C("div")(panel(spark, tops), panel(spark, bottoms))) == want
+
+
+def test_ranks_equal_counting(spark):
+    """Average and dense ranks against their definitions; a null counts as one more distinct value of the dense rank."""
+    given = table(random.Random(3), 9, 7, [5.0, 5.5, 6.0, 9.0, None])
+    days = [[vs[i] for vs in given.values()] for i in range(7)]
+
+    def average(v, day):
+        own = [x for x in day if x is not None]
+        return None if v is None else (sum(x < v for x in own) + (sum(x == v for x in own) + 1) / 2) / len(own)
+
+    def dense(v, day):
+        return None if v is None else (len({x for x in day if x is not None and x < v}) + 1) / len(set(day))
+
+    for name, f in (("rank", average), ("rankpct", dense)):
+        got = values(T(name)(panel(spark, given)))
+        for k, vs in given.items():
+            assert got[k] == [x if x is None else pytest.approx(x) for x in (f(v, day) for v, day in zip(vs, days))]
 
 
-def test_ranks_with_ties(spark):
-    p = panel(spark, {"a": [1.0], "b": [1.0], "c": [2.0], "d": [3.0]})
-    assert [v[0] for v in values(T("rank")(p)).values()] == [0.375, 0.375, 0.75, 1.0]
-    assert [v[0] for v in values(T("rankpct")(p)).values()] == pytest.approx([1 / 3, 1 / 3, 2 / 3, 1])
+def test_quantile_clipping_equals_sorting(spark):
+    given = table(random.Random(4), 11, 6, [-3.0, 1.0, 2.0, 8.0, 13.0, None])
+    for low, high in ((0.1, 0.8), (0.0, 1.0), (0.5, 0.5)):
+        got = values(T("winsorize")(panel(spark, given), lower=low, upper=high))
+        for i in range(6):
+            own = sorted(v[i] for v in given.values() if v[i] is not None)
+            a, b = (own[math.floor(q * (len(own) - 1) + 0.5)] for q in (low, high))
+            assert [got[k][i] for k in given] == [None if v[i] is None else min(max(v[i], a), b) for v in given.values()]
 
 
-def test_null_counts_in_dense_rank(spark):
-    p = panel(spark, {"a": [1.0], "b": [None], "c": [4.0]})
-    assert [v[0] for v in values(T("rankpct")(p)).values()] == [pytest.approx(1 / 3), None, pytest.approx(2 / 3)]
+def test_filling_and_age_equal_loops(spark):
+    given = table(random.Random(5), 5, 12, [2.5, 6.0, None, None, math.nan])
+    missing = lambda x: x is None or math.isnan(x)
+    filled, young = values(T("ffill")(panel(spark, given), limit=2)), values(T("date_age_constraint")(panel(spark, given), window=4, min_valid=2))
+    for k, vs in given.items():
+        for i, v in enumerate(vs):
+            near = [x for x in reversed(vs[max(0, i - 2) : i + 1]) if not missing(x)]
+            assert filled[k][i] == (near[0] if near else None)
+            old = sum(not missing(x) for x in vs[max(0, i - 3) : i + 1]) < 2
+            assert young[k][i] == (None if old or missing(v) else v)
 
 
-def test_forward_fill_limit(spark):
-    p = panel(spark, {"a": [1.0, math.nan, None, 4.0]})
-    assert values(T("ffill")(p, limit=1)) == {"a": [1.0, 1.0, None, 4.0]}
+def test_siblings_keep_their_own_auxiliary_panels(spark):
+    x, y = panel(spark, {"a": [-4.0, 6.0], "b": [9.0, -1.0]}), panel(spark, {"a": [2.0, 3.0], "b": [0.5, 4.0]})
+    size = T("abs")(x)
+    first, second = T("vol_scale")(size, volatility=size), T("vol_scale")(size, volatility=x)
+    assert values(C("sub")(first, second)) == {"a": [2.0, 0.0], "b": [0.0, 2.0]}
+    assert values(C("add")(T("vol_scale")(x, volatility=size), T("vol_scale")(x, volatility=T("negate")(x)))) == {"a": [-2.0, 0.0], "b": [0.0, -2.0]}
+    masked = C("add")(T("fillna")(T("mask")(x, mask_frame=C("greater")(x, y))), T("fillna")(T("mask")(y, mask_frame=C("less")(x, y))))
+    assert values(masked) == {"a": [2.0, 6.0], "b": [9.0, 4.0]}
 
 
-def test_age_constraint(spark):
-    p = panel(spark, {"a": [1.0, None, 3.0, 4.0, None]})
-    assert values(T("date_age_constraint")(p, window=3, min_valid=2)) == {"a": [None, None, 3.0, 4.0, None]}
+def test_siblings_keep_their_own_groups(spark):
+    x = panel(spark, {"a": [1.0], "b": [5.0], "c": [6.0], "d": [8.0]})
+    labels = lambda of: CategoryPanel.from_domain(spark.createDataFrame([("2024-01-01", k, v) for k, v in zip("abcd", of)], "time string, asset_id string, value string"), x.domain)
+    g, h = labels("uuvv"), labels("uvuv")
+    got = values(C("sub")(T("group_mean")(x, group=g), T("group_mean")(x, group=h)))
+    assert got == {"a": [3.0 - 3.5], "b": [3.0 - 6.5], "c": [7.0 - 3.5], "d": [7.0 - 6.5]}
+
+
+def test_columns_of_one_frame_need_no_join(spark):
+    data = spark.createDataFrame([("2024-01-01", "a", 1.0, 2.0), ("2024-01-02", "a", None, 5.0), ("2024-01-01", "b", 3.0, None)], "time string, asset_id string, p double, q double")
+    own = Panel.columns_of(data, Domain.of(data), {"p": Panel, "q": Panel})
+    total = C("add")(own["p"], T("negate")(own["q"]))
+    assert "Join" not in total.compute().frame._jdf.queryExecution().optimizedPlan().toString()
+    assert values(total) == {"a": [-1.0, None], "b": [None, None]}
+
+
+def test_correlation_of_flat_and_exact_windows(spark):
+    p = panel(spark, {"a": [1.0, 1.0, 1.0, 2.0, 3.0, None, 5.0]})
+    q = panel(spark, {"a": [4.0, 7.0, 4.0, 2.0, 0.0, 1.0, -4.0]})
+    got = values(C("rolling_corr")(p, q, window=3, min_periods=2))["a"]
+    assert got[:3] == [None, None, None] and got[4:] == pytest.approx([np.corrcoef([1, 2, 3], [4, 2, 0])[0, 1], -1, -1])
 
 
 def test_lag_follows_the_calendar(spark):
@@ -76,6 +134,53 @@ def test_rolling_ols_predicts_a_line(spark):
     assert values(T("rolling_ols")(y, factors=[x], window=3))["a"] == [None, None, None, pytest.approx(9.0)]
 
 
+def test_rolling_rank_equals_counting():
+    rng = np.random.default_rng(4)
+    v = rng.integers(0, 6, 60).astype(float)
+    v[rng.random(60) < 0.3] = np.nan
+    for share in (False, True):
+        got = kernels.rolling_rank(v, 7, 3, share)
+        for t in range(60):
+            own = v[max(0, t - 6) : t + 1]
+            own = own[~np.isnan(own)]
+            want = np.nan if len(own) < 3 else (own < own[-1]).sum() + ((own == own[-1]).sum() + 1) / 2
+            assert got[t] == pytest.approx(want / len(own) if share and len(own) else want, nan_ok=True)
+
+
+def test_ewm_equals_weights():
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=30)
+    v[[0, 5, 6, 17]] = np.nan
+    for bias in (None, True, False):
+        got = kernels.ewm(v, 0.3, True, False, 0, bias)
+        for t in range(30):
+            w = np.where(np.isnan(v[: t + 1]), 0, 0.7 ** np.arange(t, -1, -1.0))
+            x = np.nan_to_num(v[: t + 1])
+            mean = (w * x).sum() / w.sum() if w.any() else np.nan
+            want = mean if bias is None else (w * (x - mean) ** 2).sum() / w.sum() if w.any() else np.nan
+            if bias is False and (w > 0).sum() > 1:
+                want *= w.sum() ** 2 / (w.sum() ** 2 - (w**2).sum())
+            assert got[t] == pytest.approx(np.nan if np.isnan(v[t]) else want, nan_ok=True, abs=1e-12)
+
+
+def test_rolling_fits_equal_single_fits():
+    """Windows with holes, a flat and a repeated factor against one plain solution each."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(50, 2))
+    x[20:35, 1] = x[20:35, 0]
+    x[36:48, 0] = 3.0
+    y = x @ [0.5, 2.0] + rng.normal(size=50)
+    y[[3, 4, 25]], x[10, 1] = np.nan, np.nan
+    ridge = lambda a, b: np.linalg.solve(a.T @ a + np.diag([0, 2.0, 2.0]), a.T @ b)
+    for got, plain in ((kernels.FITS["ols"](), lambda a, b: np.linalg.lstsq(a, b, rcond=None)[0]), (kernels.FITS["ridge"](2.0), ridge), (kernels.FITS["elastic_net"](2.0, 0.0, 20000, 1e-13), ridge)):
+        out = kernels.rolling_fit(y, x, 9, got)
+        for t in range(50):
+            ok = [i for i in range(max(0, t - 9), t) if np.isfinite(y[i]) and np.isfinite(x[i]).all()]
+            a = np.column_stack((np.ones(len(ok)), x[ok]))
+            want = np.nan if t < 9 or not np.isfinite(x[t]).all() else np.append(1, x[t]) @ plain(a, y[ok])
+            assert out[t] == pytest.approx(want, nan_ok=True, abs=1e-6)
+
+
 def test_regressions_equal_plain_solutions():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(40, 2))
