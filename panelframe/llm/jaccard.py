@@ -3,15 +3,19 @@
 A document is its set of 4-word shingles (64-bit hashes). Sets with similarity 0.85 or more must share one of
 their first few shingles in a common order (rare first), so those go to inverted lists.
 
-* Equal sets are one set. A list entry has the set's size and the shingle's position; lists are
-  sorted by size, so blocks outside the size range are skipped, and position bounds cut the rest.
+* Equal sets are one set. A list entry has the set's size and the shingle's position. Long lists are kept in blocks by position,
+  sorted by size inside: a block whose entries have too little left after their positions is skipped whole, and within a block
+  so are the sizes out of range.
+* A pair that passes these bounds is compared only if its sketches allow it: a sketch counts a set's elements in hash cells, and
+  sets share at most the sum of the lesser counts, so no linked pair is lost.
 * A long list is first compared with one set, its centre. What a set has in common with the centre answers for
   sets like the centre: |x & y| <= min(|x & c|, |y & c|) + min(|x - c|, |y - c|), so most pairs of
   the list are decided without a comparison, and pairs already connected need none. The rest is compared exactly.
 
 Links are merged into components by alternating star contractions. Null text, or one without words:
 no shingles, a component of its own. Null doc_id: linked like any other, but it names no component (null if all ids
-are null). Rows with equal doc_id and different text are separate. Extra columns are ignored.
+are null). Rows with equal doc_id and different text are separate; repeated rows share their component. Very long texts are handled
+whole. An empty table gives an empty table. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,17 +29,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import U64, gram_hashes, mix, span_hashes, word_spans
-from .common import blocks, byte_texts, laid, shuffle_partitions, staged
+from .common import blocks, bucketed, byte_texts, discard, laid, shuffle_partitions, staged
 from .recur import equal_runs, pack, unpack
 
 SHINGLE, PERCENT = 4, 85
-#: Rarity classes come from counts in this many hash cells (the only thing broadcast: a byte each).
-CELL_BITS, CELL_CHUNKS = 18, 64
+#: Rarity classes come from counts in this many hash cells (a byte each is broadcast). Counts in one task stop at 255: they only order shingles.
+CELL_BITS, CELL_CHUNKS = 22, 64
+#: Bits of the filter that tells which sets are compared (broadcast, a set in it by chance is sent in vain), and shingles counted in one round.
+FILTER_BITS, ROUND = 25, 1 << 21
 #: Up to this many sets a list is compared pair by pair; longer ones have a centre.
 SMALL = 8
 #: Members of a centre that are compared with as many others in one task.
 MEMBERS = 100
-WIDTH = 6  # bytes of each hash sent for comparison
+#: Positions in one block of a long list.
+POSITIONS = 8
 
 
 def _sets(texts: list) -> Iterator[np.ndarray]:
@@ -57,27 +64,52 @@ def _sid(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _sketch(s: np.ndarray) -> bytes | None:
+    """Counts of the elements in 2 ** k hash cells, about half as many as elements; None if a count exceeds a byte."""
+    bits = max(0, (len(s) - 1).bit_length() - 1)
+    counts = np.bincount(((s >> U64(1)) >> U64(63 - bits)).astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if len(s) and counts.max() < 256 else None
+
+
+def _at_most(x: bytes, y: bytes) -> int:
+    """A bound on what the sets of two sketches have in common."""
+    x, y = sorted((np.frombuffer(z, np.uint8).astype(np.int64) for z in (x, y)), key=len)
+    return int(np.minimum(x, y.reshape(len(x), -1).sum(axis=1)).sum())
+
+
 def _cells(h: np.ndarray) -> np.ndarray:
     return (h >> U64(64 - CELL_BITS)).astype(np.int64)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """kind 0: doc_id, text_key, n, sid for each row; kind 1: counts of a chunk of cells in one task."""
+    """kind 0: doc_id, text_key, n, sid and sketch for each row; kind 1: counts of a chunk of cells in one task."""
     names = ["kind", "doc_id", "text_key", "n", "sid", "payload"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << CELL_BITS, np.int64)
+        cells, waiting, n = np.zeros(1 << CELL_BITS, np.uint8), [], 0
+
+        def count() -> None:
+            found = np.bincount(_cells(np.concatenate(waiting)), minlength=len(cells)) + cells
+            np.minimum(found, 255, out=cells, casting="unsafe")
+            waiting.clear()
+
         for batch in batches:
             texts = byte_texts(batch.column("text"))
             for a, b in blocks(texts):
                 own = list(_sets(texts[a:b]))
-                cells += np.bincount(_cells(np.concatenate(own)), minlength=len(cells))
+                waiting += own
+                n += sum(map(len, own))
+                if n >= ROUND:
+                    count()
+                    n = 0
                 m = b - a
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([0] * m, pa.int32()), *[batch.column(c).slice(a, m) for c in ("doc_id", "text_key")], pa.array([len(s) for s in own], pa.int64()), pa.array([_sid(s) if len(s) else None for s in own], pa.int64()), pa.nulls(m, pa.binary())], names=names
+                    [pa.array([0] * m, pa.int32()), *[batch.column(c).slice(a, m) for c in ("doc_id", "text_key")], pa.array([len(s) for s in own], pa.int64()), pa.array([_sid(s) if len(s) else None for s in own], pa.int64()), pa.array([_sketch(s) for s in own], pa.binary())], names=names
                 )
-        m, parts = CELL_CHUNKS, np.split(cells, CELL_CHUNKS)
-        yield pa.RecordBatch.from_arrays([pa.array([1] * m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(range(m), pa.int64()), pa.nulls(m, pa.int64()), pa.array([pack(p) for p in parts], pa.binary())], names=names)
+        if waiting:
+            count()
+        for i, part in enumerate(np.split(cells, CELL_CHUNKS)):
+            yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([i], pa.int64()), pa.nulls(1, pa.int64()), pa.array([pack(part)], pa.binary())], names=names)
 
     return docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(run, "kind int, doc_id long, text_key long, n long, sid long, payload binary")
 
@@ -86,7 +118,7 @@ def rarity(found: DataFrame) -> np.ndarray:
     """The class (about log2 of the count) of each cell, summed over all documents."""
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(unpack(p)[0] for p in table.column("payload").to_pylist())
+        total = sum(unpack(p)[0].astype(np.int64) for p in table.column("payload").to_pylist())
         kind = np.log2(np.maximum(total, 1)).astype(np.uint8).tobytes()
         return pa.table({"n": table.column("n").slice(0, 1), "classes": pa.array([kind], pa.binary())})
 
@@ -185,32 +217,72 @@ def list_pairs(bucketed: DataFrame) -> DataFrame:
     return bucketed.groupBy("bucket").applyInArrow(run, "kind int, a long, b long, payload binary")
 
 
-def overlaps(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (a, b) plus the sets' sizes and what they have in common, compared exactly; for sets that share half or more also the elements only one has."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    holder = rows.join(wanted, "sid", "leftsemi").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
+def _filter(wanted: DataFrame) -> np.ndarray:
+    """A bit for each hash cell that holds a wanted sid; its size is fixed."""
+    cell = F.shiftrightunsigned(F.col("sid"), 64 - FILTER_BITS)
+    size = (1 << FILTER_BITS) // CELL_CHUNKS
+
+    def mark(table: pa.Table) -> pa.Table:
+        bits = np.zeros(size, np.uint8)
+        bits[table.column("cell").to_numpy() % size] = 1
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "bits": pa.array([pack(np.packbits(bits))], pa.binary())})
+
+    cells = wanted.select(cell.alias("cell")).distinct().withColumn("chunk", F.floor(F.col("cell") / size).cast("int"))
+    out = np.zeros((CELL_CHUNKS, size // 8), np.uint8)
+    for r in cells.groupBy("chunk").applyInArrow(mark, "chunk int, bits binary").collect():
+        out[r["chunk"]] = unpack(bytes(r["bits"]))[0]
+    return out.ravel()
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(sid, elements) of the wanted sets, in buckets by sid. Texts stay where they are: each task sends a set once."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, sent = shared.value, set()
         for batch in batches:
-            texts, sids = byte_texts(batch.column("text")), batch.column("sid").to_pylist()
+            texts = byte_texts(batch.column("text"))
             for a, b in blocks(texts):
-                own = [(i, s.view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()) for i, s in zip(sids[a:b], _sets(texts[a:b]), strict=True) if len(s) and _sid(s) == i]
+                own = []
+                for s in _sets(texts[a:b]):
+                    if len(s) and (i := _sid(s)) not in sent:
+                        cell = (i & 0xFFFFFFFFFFFFFFFF) >> (64 - FILTER_BITS)
+                        if bits[cell >> 3] >> (7 - (cell & 7)) & 1:
+                            sent.add(i)
+                            own.append((i, s.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in own], pa.int64()), pa.array([s for _, s in own], pa.binary())], names=["sid", "elements"])
 
-    sets = docs.join(holder, docs["doc_id"].eqNullSafe(holder["doc_id"])).select("sid", "text").mapInArrow(build, "sid long, elements binary")
-    sets = staged(sets, "sets")
-    both = pairs.join(sets.toDF("a", "elements_a"), "a").join(sets.toDF("b", "elements_b"), "b")
+    every = docs.select("text").mapInArrow(build, "sid long, elements binary")
+    return bucketed(every, "sid", shuffle_partitions(docs.sparkSession), "sets").dropDuplicates(["sid"])
+
+
+def sketched(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose sketches allow a link."""
+    own = found.where("kind = 0 and sid is not null").select("sid", "n", "payload").dropDuplicates(["sid"])
+    both = pairs.join(own.toDF("a", "size_a", "sketch_a"), "a").join(own.toDF("b", "size_b", "sketch_b"), "b")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            need = needed_overlap(batch.column("size_a").to_numpy(), batch.column("size_b").to_numpy())
+            sketches = zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist(), need.tolist(), strict=True)
+            ok = pa.array([x is None or y is None or _at_most(x, y) >= least for x, y, least in sketches], pa.bool_())
+            yield batch.select(["a", "b"]).filter(ok)
+
+    return both.mapInArrow(keep, "a long, b long")
+
 
-    def numbers(raw: bytes) -> np.ndarray:
-        wide = np.zeros((len(raw) // WIDTH, 8), np.uint8)
-        wide[:, :WIDTH] = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH)
-        return wide.view(np.uint64).ravel()
+def overlaps(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs (a, b) plus the sets' sizes and what they have in common, compared exactly; for sets that share half or more also the elements only one has.
+
+    The sets' table is bucketed by sid, so of the joins only pairs, and the first set of each, are shuffled."""
+    sets = sets_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("sid")))
+    both = pairs.join(sets.toDF("a", "elements_a"), "a").join(sets.toDF("b", "elements_b"), "b")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb, common, only_a, only_b = [], [], [], [], []
             for x, y in zip(batch.column("elements_a").to_pylist(), batch.column("elements_b").to_pylist(), strict=True):
-                x, y = numbers(x), numbers(y)
+                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
                 in_y = np.isin(x, y, assume_unique=True)
                 c = int(in_y.sum())
                 near = 2 * c >= max(len(x), len(y))
@@ -222,7 +294,7 @@ def overlaps(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
             columns = [batch.column("a"), batch.column("b"), *[pa.array(x, pa.int64()) for x in (na, nb, common)], *[pa.array(x, pa.binary()) for x in (only_a, only_b)]]
             yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "size_a", "size_b", "common", "only_a", "only_b"])
 
-    return both.mapInArrow(compare, "a long, b long, size_a long, size_b long, common long, only_a binary, only_b binary").dropDuplicates(["a", "b"])
+    return both.mapInArrow(compare, "a long, b long, size_a long, size_b long, common long, only_a binary, only_b binary")
 
 
 def linked(compared: DataFrame) -> DataFrame:
@@ -347,19 +419,26 @@ def undecided(entries: DataFrame, compared: DataFrame, roots: DataFrame) -> Data
         common = table.column("common").to_numpy(zero_copy_only=False).astype(np.float64)
         common = np.where(sid == centre, size, common)
         near = np.array([bool(x) for x in table.column("near").to_pylist()])
-        order = np.argsort(size, kind="stable")
+        order = np.lexsort((size, pos // POSITIONS))
         sid, size, pos, root, common, near = (x[order] for x in (sid, size, pos, root, common, near))
+        cuts = list(equal_runs(pos // POSITIONS))
+        most_left = [int((size - pos)[a:b].max()) for a, b in cuts]
         out = []
         for i in range(len(sid)):
-            stop = np.searchsorted(size, size[i] * 100 // PERCENT, "right")  # sizes beyond are skipped
-            j = np.arange(i + 1, stop)
-            j = j[(root[j] != root[i]) & (sid[j] != centre) & ~(near[j] & near[i])]
-            if sid[i] == centre or not len(j):
+            if sid[i] == centre:
                 continue
-            need = needed_overlap(size[i], size[j])
-            bound = np.minimum(common[i], common[j]) + np.minimum(size[i] - common[i], size[j] - common[j])
-            ok = possible(size[i], pos[i], size[j], pos[j]) & ~(bound < need)  # an unknown answer (nan) decides nothing
-            out.append(np.stack((np.minimum(sid[i], sid[j[ok]]), np.maximum(sid[i], sid[j[ok]]))))
+            for (a, b), left in zip(cuts, most_left, strict=True):
+                if b <= i + 1 or min(left, size[i] - pos[i]) < needed_overlap(size[i], size[a]):
+                    continue  # the whole block is skipped: its least size needs more than any of its entries has left
+                low, stop = np.searchsorted(size[a:b], (-(-size[i] * PERCENT // 100), size[i] * 100 // PERCENT + 1))
+                j = np.arange(max(a + low, i + 1), a + stop)
+                j = j[(root[j] != root[i]) & (sid[j] != centre) & ~(near[j] & near[i])]
+                if not len(j):
+                    continue
+                need = needed_overlap(size[i], size[j])
+                bound = np.minimum(common[i], common[j]) + np.minimum(size[i] - common[i], size[j] - common[j])
+                ok = possible(size[i], pos[i], size[j], pos[j]) & ~(bound < need)  # an unknown answer (nan) decides nothing
+                out.append(np.stack((np.minimum(sid[i], sid[j[ok]]), np.maximum(sid[i], sid[j[ok]]))))
         found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
         return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
 
@@ -380,14 +459,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     buckets = 2 * shuffle_partitions(docs.sparkSession)
     sent = staged(list_pairs(postings(docs, rarity(found), buckets)), "pairs")
     entries = long_entries(sent.where("kind = 1"))
-    pairs = sent.where("kind = 0").select("a", "b").unionByName(centre_pairs(entries)).distinct()
-    compared = staged(overlaps(docs, rows.where("sid is not null"), pairs), "compared")
+    short = sketched(sent.where("kind = 0").select("a", "b").distinct(), found)
+    pairs = staged(short.unionByName(centre_pairs(entries)).distinct(), "all-pairs")
+    compared = staged(overlaps(docs, pairs), "compared")
+    discard(sent, pairs)
     roots = components(linked(compared))
     roots = components(roots.toDF("a", "b").unionByName(derived_links(entries, compared, roots)))
-    more = staged(undecided(entries, compared, roots).join(compared.select("a", "b"), ["a", "b"], "leftanti"), "undecided")
+    more = staged(sketched(undecided(entries, compared, roots).join(compared.select("a", "b"), ["a", "b"], "leftanti"), found), "undecided")
+    discard(entries, compared)
     if not more.isEmpty():
-        again = staged(overlaps(docs, rows.where("sid is not null"), more), "compared-again")
-        roots = components(roots.toDF("a", "b").unionByName(linked(again)))
+        roots = components(roots.toDF("a", "b").unionByName(linked(overlaps(docs, more))))
+    discard(more)
     own = rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("least"))
     placed = own.join(roots, own["sid"] == roots["node"], "left").select("sid", F.coalesce("root", "sid").alias("root"), "least")
     named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("sid", "component_id", "root")

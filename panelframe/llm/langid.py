@@ -5,7 +5,8 @@ its byte-trigram probabilities. EM estimates the language proportions of each te
 sets of the most likely languages the one with the best penalised likelihood is taken.
 
 Null text, or one without a letter: `und`, score 0. Null or unknown labels are not learned from. With no labelled row every
-text is `und`. Ties go to the language that sorts first. Repeated rows are judged independently.
+text is `und`. Ties go to the language that sorts first. Repeated rows are judged independently. Very long texts are judged whole.
+An empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .arrays import word_spans
-from .common import blocks, byte_texts, laid
+from .common import blocks, byte_texts, discard, laid, staged
+from .recur import pack, unpack
 
-#: Hashed trigram space; labelled rows learned from (the least by hash of their id); languages a text may mix.
-BUCKET_BITS, TRAIN_ROWS, MAX_LANGUAGES = 15, 8000, 3
+#: Hashed trigram space; labelled rows learned from (the least by hash of their id and text).
+BUCKET_BITS, TRAIN_ROWS = 15, 8000
 #: What one more language must gain in log-likelihood, times log of the words.
 PENALTY, EM_STEPS = 1.5, 7
 #: Least proportion in the full mixture with which a language may join a set.
@@ -70,16 +72,23 @@ def _word_grams(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(first, lengths) + offset
 
 
+def trigram_counts(texts: list[bytes]) -> np.ndarray:
+    counts = np.zeros(1 << BUCKET_BITS, np.int64)
+    for a, b in blocks(texts):
+        grams, first, lengths, _ = _trigrams(texts[a:b])
+        if len(lengths):
+            counts += np.bincount(grams[_word_grams(first, lengths)], minlength=1 << BUCKET_BITS)
+    return counts
+
+
+def model_of(counts: dict[str, np.ndarray]) -> LanguageModel:
+    languages = tuple(sorted(counts))
+    smooth = np.array([counts[x] + 0.5 for x in languages]).reshape(len(languages), 1 << BUCKET_BITS)
+    return LanguageModel(languages, np.log(smooth / smooth.sum(axis=1, keepdims=True)).astype(np.float32))
+
+
 def train(texts: list[bytes], labels: list[str]) -> LanguageModel:
-    languages = tuple(sorted(set(labels)))
-    counts = np.full((len(languages), 1 << BUCKET_BITS), 0.5)
-    for k, lang in enumerate(languages):
-        own = [t for t, x in zip(texts, labels, strict=True) if x == lang]
-        for a, b in blocks(own):
-            grams, first, lengths, _ = _trigrams(own[a:b])
-            if len(lengths):
-                counts[k] += np.bincount(grams[_word_grams(first, lengths)], minlength=1 << BUCKET_BITS)
-    return LanguageModel(languages, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32))
+    return model_of({x: trigram_counts([t for t, y in zip(texts, labels, strict=True) if y == x]) for x in set(labels)})
 
 
 def _em(like: np.ndarray, doc: np.ndarray, at: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,7 +130,7 @@ def predict(model: LanguageModel, texts: list[bytes | None]) -> tuple[list[str],
     full = np.flatnonzero(np.diff(at))
     value = np.zeros(n)
     value[full] = np.add.reduceat(np.log(like[np.arange(len(doc)), order[doc, 0]]), at[full])
-    for m in range(2, min(k, MAX_LANGUAGES) + 1):
+    for m in range(2, k + 1):
         some = np.flatnonzero(ranked[:, m - 1] >= MIN_SHARE)  # only these can use so many languages
         if not len(some):
             break
@@ -148,17 +157,31 @@ def fit(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> LanguageModel:
     """Learns from text and lang of the train_rows labelled rows with the least hash of doc_id and text.
 
     Rows are counted first, so that only those below a bound on the hash, about twice as many as wanted, are sorted;
-    should many rows be alike and the bound leave too few, it is raised.
+    should many rows be alike and the bound leave too few, it is raised. Trigrams are counted by the executors; the driver gets
+    the counts of each language that are not zero.
     """
     labelled = docs.where("lang is not null and text is not null").select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
     share = 2 * train_rows / max(labelled.count(), 1)
     while True:
         low = labelled if share >= 1 else labelled.where(F.col("h") < int(-(2.0**63) + share * 2.0**64))
-        sample = low.orderBy("h", "lang").limit(train_rows).toArrow()
-        if share >= 1 or sample.num_rows == train_rows:
-            return train(byte_texts(sample.column("text").combine_chunks()), sample.column("lang").to_pylist())
+        sample = staged(low.orderBy("h", "lang").limit(train_rows), "labelled")
+        if share >= 1 or sample.count() == train_rows:
+            break
+        discard(sample)
         share *= 4
 
+    def count(table: pa.Table) -> pa.Table:
+        counts = trigram_counts(byte_texts(table.column("text").combine_chunks()))
+        at = np.flatnonzero(counts)
+        return pa.table({"lang": table.column("lang").slice(0, 1), "counts": pa.array([pack(at.astype(np.int32), counts[at])], pa.binary())})
+
+    counts = {}
+    for r in sample.select("lang", "text").groupBy("lang").applyInArrow(count, "lang string, counts binary").collect():
+        at, found = unpack(bytes(r["counts"]))
+        counts[r["lang"]] = np.bincount(at, found, 1 << BUCKET_BITS)
+    discard(sample)
+    return model_of(counts)
+
 
 def language_mixture(docs: DataFrame, model: LanguageModel, also: tuple[str, ...] = ()) -> DataFrame:
     """Adds lang_pred, score, languages and proportions to each row of docs (doc_id, text, held_out); columns in `also` go along unchanged."""
