@@ -7,10 +7,10 @@ item is cut into few (shingle, position, range of windows) entries. A joined ent
 extending the match to both sides within the reach of its windows: length and position bounds cut
 it off, and the windows that fit into the matched stretch are exact occurrences.
 
-Null text and null or empty items have no words; a document without words has zeros. Rows with the
-same doc_id and text give one row; null doc_id is a value like any other. Items with the same
-item_id are taken one by one. Item texts with a null item_id still mark words but have no id to list.
-Further columns are ignored.
+Null text and null or empty items have no words; a document without words has zeros. Each row is judged by itself and gives a
+row, repeated rows and null doc_ids too. Of shingles that are equally rare the one with the least hash and position is taken. Items
+with the same item_id are taken one by one; equal items count once. Item texts with a null item_id still mark words but have no id
+to list. Very long texts are searched whole. Without documents there are no rows, without items no hits. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,13 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 WINDOW, SHINGLE = 13, 4
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]++"
-#: Entries go to every executor up to this many (about 1 KB each); beyond it they are joined by key.
-BROADCAST_ENTRIES = 100_000
+#: Entries go to every executor up to this many bytes, as measured; beyond it they are joined by key. Both ways find the same.
+BROADCAST_BYTES = 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -41,7 +41,8 @@ def _key(array: Column, i: Column, m: int) -> Column:
 
 
 def item_entries(items: DataFrame, counts: DataFrame | None) -> DataFrame:
-    """(key, m, q, lo, hi, w, item_words, item_id): windows lo..hi of the item are found by the m-word shingle at q."""
+    """(key, m, q, lo, hi, w, item_words, item_id): windows lo..hi of the item are found by the m-word shingle at q. item_words are
+    cut to what these windows hold, and q, lo, hi count from there."""
     span = items.withColumn("n", F.size("item_words")).withColumn("w", F.least(F.lit(WINDOW), "n")).withColumn("m", F.least(F.lit(SHINGLE), "n"))
     shingles = span.select("item_row", "n", "w", "m", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("m"))).alias("q"), "item_words")
     keyed = shingles.withColumn("key", _key_by_m("item_words", "q", "m"))
@@ -50,7 +51,10 @@ def item_entries(items: DataFrame, counts: DataFrame | None) -> DataFrame:
     counted = keyed.drop("item_words").join(counts, "key", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     starts = counted.withColumn("s", F.explode(F.sequence(F.greatest(F.lit(0), F.col("q") + F.col("m") - F.col("w")), F.least(F.col("q"), F.col("n") - F.col("w")))))
     best = starts.groupBy("item_row", "s").agg(F.min(F.struct("c", "key", "q", "m", "w")).alias("best"))
-    return best.groupBy("item_row", "best.key", "best.q", "best.m", "best.w").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).join(items, "item_row")
+    return best.groupBy("item_row", "best.key", "best.q", "best.m", "best.w").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).join(items, "item_row").select(
+        "key", "m", (F.col("q") - F.col("lo")).alias("q"), F.lit(0).alias("lo"), (F.col("hi") - F.col("lo")).alias("hi"), "w",
+        F.slice("item_words", F.col("lo") + 1, F.col("hi") - F.col("lo") + F.col("w")).alias("item_words"), "item_id",
+    )
 
 
 def _key_by_m(array: str, i: str, m: str) -> Column:
@@ -78,10 +82,10 @@ def _agree(a: Column, b: Column, n: Column) -> Column:
 
 
 def hits(docs: DataFrame, entries: DataFrame, lengths: list[int]) -> DataFrame:
-    """(doc_id, row_key, first_row, n_words, item_id, span): words span.a..span.b-1 of the document lie in
+    """(row, doc_id, row_key, first_row, n_words, item_id, span): words span.a..span.b-1 of the document lie in
     occurrences of windows of the item. Each document also has a row (first_row) without a join partner's
     need, so that documents without hits stay; item_id and span are null where nothing was verified."""
-    x = _positions(docs, lengths, "doc_id", "row_key").join(entries.withColumnRenamed("m", "len"), "key", "left")
+    x = _positions(docs, lengths, "row", "doc_id", "row_key").join(entries.withColumnRenamed("m", "len"), "key", "left")
     x = x.withColumn("first_row", F.coalesce(F.col("p") == 0, F.lit(True)) & (F.col("which") == 0 if len(lengths) > 1 else F.lit(True)))
     x = x.withColumn("d", F.col("p") - F.col("q")).withColumn("n", F.size("words"))
     # Bounds: the windows must lie inside the document.
@@ -96,7 +100,7 @@ def hits(docs: DataFrame, entries: DataFrame, lengths: list[int]) -> DataFrame:
     # No filter here: the optimizer would move it into the join, whose code could then not be generated.
     exact = fits & F.expr("first <= last and ahead >= len")
     span = F.struct((F.col("first") + F.col("d")).alias("a"), (F.col("last") + F.col("w") + F.col("d")).alias("b"))
-    return x.select("doc_id", "row_key", "first_row", F.greatest("n", F.lit(0)).cast("long").alias("n_words"), F.when(exact, F.col("item_id")).alias("item_id"), F.when(exact, span).alias("span"))
+    return x.select("row", "doc_id", "row_key", "first_row", F.greatest("n", F.lit(0)).cast("long").alias("n_words"), F.when(exact, F.col("item_id")).alias("item_id"), F.when(exact, span).alias("span"))
 
 
 def _union_length(spans: Column) -> Column:
@@ -109,26 +113,26 @@ def _union_length(spans: Column) -> Column:
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, row_key, n_words, n_hit, items, contaminated) for each distinct (doc_id, text) of docs.
+    """(doc_id, row_key, n_words, n_hit, items, contaminated) for each row of docs.
 
     items lists the ids, as strings, of the items with occurring windows; row_key is
     xxhash64(doc_id, text). docs: doc_id, text. items: item_id, text. Two passes over docs (shingle
-    counts, then hits), each a map with an aggregation by shingle or document; texts are not shuffled.
+    counts, then hits), each a map with an aggregation by shingle or row; texts are not shuffled.
     """
     short = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), words(F.col("text")).alias("words"))
     bench = staged(items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("item_words")).where(F.size("item_words") > 0).withColumn("item_row", F.xxhash64("item_id", "item_words")).dropDuplicates(["item_row"]), "bench")
     shingles = item_entries(bench, None)
     lengths = sorted(r.m for r in shingles.select("m").distinct().collect()) or [SHINGLE]  # at most SHINGLE values
     known = staged(shingles.select("key").distinct(), "bench-keys")
-    small = known.count() <= BROADCAST_ENTRIES
-    counts = _positions(short, lengths).select("key").join(F.broadcast(known) if small else known, "key").groupBy("key").agg(F.count(F.lit(1)).alias("c"))
-    entries = staged(item_entries(bench, counts).select("key", "m", "q", "lo", "hi", "w", "item_words", "item_id"), "bench-entries")
-    found = hits(short, F.broadcast(entries) if small and entries.count() <= BROADCAST_ENTRIES else entries, lengths)
-    out = found.groupBy("doc_id", "row_key").agg(
-        F.max("n_words").alias("n_words"),
-        _union_length(F.array_sort(F.collect_set("span"))).alias("n_hit"),
-        F.array_sort(F.collect_set("item_id")).alias("items"),
-    )
+    counts = _positions(short, lengths).select("key").join(F.broadcast(known) if 16 * known.count() <= BROADCAST_BYTES else known, "key").groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    entries = staged(item_entries(bench, counts), "bench-entries")
+    size = entries.agg(F.sum(F.octet_length(F.array_join("item_words", " ")) + 16 * F.size("item_words") + 64).alias("n")).first()["n"] or 0
+    discard(known)
+    found = hits(short.withColumn("row", F.monotonically_increasing_id()), F.broadcast(entries) if size <= BROADCAST_BYTES else entries, lengths)
+    out = found.groupBy("row").agg(
+        F.first("doc_id").alias("doc_id"), F.first("row_key").alias("row_key"), F.max("n_words").alias("n_words"),
+        _union_length(F.array_sort(F.collect_set("span"))).alias("n_hit"), F.array_sort(F.collect_set("item_id")).alias("items"),
+    ).drop("row")
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
