@@ -7,7 +7,8 @@ it. The merged headers are the response's, overlaid with those that a 304 may up
 
 Null or empty url: never matched (`no_response`). Null ts or kind: the record is left out. Ties: of
 responses at one time the greatest record_id counts; a response at the revisit's own time is not earlier.
-Repeated revisits are resolved one by one. Extra columns are ignored.
+Repeated revisits are resolved one by one. Header names are compared and returned in lower case; of names in one record that differ
+in case only the last counts. An empty table gives no rows. Extra columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -37,13 +38,23 @@ def _differs(a: Column, b: Column) -> Column:
     return F.coalesce(a != b, F.lit(False))
 
 
+def _lowered(headers: Column) -> Column:
+    """The map with lower-case names; a name that comes again later is left out before."""
+    entries = F.map_entries(F.coalesce(headers, F.expr("map()").cast("map<string,string>")))
+
+    def is_last(e: Column, i: Column) -> Column:
+        return ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: F.lower(x["key"]) == F.lower(e["key"]))
+
+    return F.map_from_entries(F.transform(F.filter(entries, is_last), lambda e: F.struct(F.lower(e["key"]), e["value"])))
+
+
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """One row for each revisit: record_id, url_key, ts, matched_id, matched_ts, status, digest, headers.
 
     A hot URL is dealt by spans of time: within a span a window finds the last response; what a
     span inherits comes from one row for each span, so no task sorts all records of a URL.
     """
-    r = records.where("ts is not null and kind in ('response', 'revisit')").withColumn("url_key", canonical(F.col("url"))).withColumn("span", F.floor(F.col("ts") / SPAN))
+    r = records.select("record_id", "url", "ts", "kind", "etag", "last_modified", "digest", "headers").where("ts is not null and kind in ('response', 'revisit')").withColumn("url_key", canonical(F.col("url"))).withColumn("span", F.floor(F.col("ts") / SPAN))
     r = r.withColumn("is_revisit", F.col("kind") == "revisit")
     full = F.when(~F.col("is_revisit"), F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers"))
     # A URL that is null is no key: its revisits are spread and match nothing.
@@ -60,9 +71,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     weak = lambda c: F.regexp_replace(c, r"^W/", "")
     conflict = _differs(F.col("digest"), F.col("hit.digest")) | _differs(weak(F.col("etag")), weak(F.col("hit.etag"))) | _differs(F.col("last_modified"), F.col("hit.last_modified"))
     status = F.when(F.col("hit").isNull(), "no_response").when(conflict, "conflict").otherwise("resolved")
-    allowed = F.map_filter(F.coalesce("headers", F.expr("map()").cast("map<string,string>")), lambda k, v: F.lower(k).isin(*PERMITTED))
-    stored = F.coalesce(F.col("hit.headers"), F.expr("map()").cast("map<string,string>"))
-    kept = F.map_filter(stored, lambda k, v: ~F.array_contains(F.map_keys(allowed), k))
+    found = found.withColumn("allowed", F.map_filter(_lowered(F.col("headers")), lambda k, v: k.isin(*PERMITTED)))
+    allowed, kept = F.col("allowed"), F.map_filter(_lowered(F.col("hit.headers")), lambda k, v: ~F.array_contains(F.map_keys("allowed"), k))
     return found.select(
         "record_id", "url_key", "ts", F.col("hit.record_id").alias("matched_id"), F.col("hit.ts").alias("matched_ts"), status.alias("status"),
         F.when(status == "resolved", F.col("hit.digest")).alias("digest"), F.when(status == "resolved", F.map_concat(kept, allowed)).alias("headers"),
@@ -70,8 +80,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """The crawl that pages stand for: a full response for each page at time 10 * page_id, and five
-    ticks later a revisit of its URL. A tenth of revisits brings a new ETag; a third has a digest."""
+    """The crawl that pages stand for: a full response for each page at time 10 * page_id, and a revisit of its URL, spelled
+    differently: five ticks later or many spans later, and a few before any response. A tenth of revisits brings a new ETag; a third has a digest."""
     html = F.coalesce(F.col("html"), F.lit(""))
     base = pages.select("page_id", "url", F.md5(html).alias("md5"), F.length(html).alias("n"))
     etag = F.concat(F.lit('"'), F.substring("md5", 1, 16), F.lit('"'))
@@ -80,9 +90,11 @@ def page_records(pages: DataFrame) -> DataFrame:
         F.create_map(F.lit("content-length"), F.col("n").cast("string"), F.lit("etag"), etag, F.lit("date"), (F.col("page_id") * 10).cast("string")).alias("headers"),
     )
     new = F.when(F.col("page_id") % 10 == 7, F.lit('"changed"')).otherwise(F.concat(F.lit("W/"), etag))
+    later = F.col("page_id") * 10 + F.when(F.col("page_id") % 11 == 3, -5).otherwise(5 + 50_000 * (F.col("page_id") % 3))
+    spelled = F.concat(F.regexp_replace("url", "^https?://(?:www\\.)?", "HTTP://www."), F.lit("#again"))
     revisit = base.select(
-        (F.col("page_id") * 2 + 1).alias("record_id"), "url", (F.col("page_id") * 10 + 5).alias("ts"), F.lit("revisit").alias("kind"), new.alias("etag"), F.lit(None).cast("string").alias("last_modified"),
-        F.when(F.col("page_id") % 3 == 0, F.col("md5")).alias("digest"), F.create_map(F.lit("date"), (F.col("page_id") * 10 + 5).cast("string"), F.lit("content-length"), F.lit("0")).alias("headers"),
+        (F.col("page_id") * 2 + 1).alias("record_id"), spelled.alias("url"), later.alias("ts"), F.lit("revisit").alias("kind"), new.alias("etag"), F.lit(None).cast("string").alias("last_modified"),
+        F.when(F.col("page_id") % 3 == 0, F.col("md5")).alias("digest"), F.create_map(F.lit("Date"), later.cast("string"), F.lit("content-length"), F.lit("0")).alias("headers"),
     )
     return response.unionByName(revisit)
 
@@ -100,7 +112,7 @@ k AS (
   SELECT *, regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), ':(80|443)$', '') AS host,
     regexp_replace(regexp_replace(regexp_replace(regexp_replace(bare, '^[^/?]*', ''), '([?&])(utm_[a-z]+|ref|sessionid)=[^&]*(&|$)', '\1', 'g'), '[?&]+$', ''), '/(index\.html?)?$', '') AS rest FROM k
 ), u AS (SELECT *, nullif(host || rest, '') AS url_key, '"' || substr(m, 1, 16) || '"' AS etag FROM c),
-r AS (SELECT page_id * 2 + 1 AS record_id, url_key, page_id * 10 + 5 AS ts, CASE WHEN page_id % 10 = 7 THEN '"changed"' ELSE etag END AS etag, CASE WHEN page_id % 3 = 0 THEN m END AS digest FROM u),
+r AS (SELECT page_id * 2 + 1 AS record_id, url_key, page_id * 10 + CASE WHEN page_id % 11 = 3 THEN -5 ELSE 5 + 50000 * (page_id % 3) END AS ts, CASE WHEN page_id % 10 = 7 THEN '"changed"' ELSE etag END AS etag, CASE WHEN page_id % 3 = 0 THEN m END AS digest FROM u),
 f AS (SELECT page_id * 2 AS record_id, url_key, page_id * 10 AS ts, etag, m, n FROM u),
 j AS (SELECT r.*, f.record_id AS matched_id, f.m, f.n, CASE WHEN f.record_id IS NULL THEN 'no_response' WHEN coalesce(r.digest <> f.m, false) OR r.etag <> f.etag THEN 'conflict' ELSE 'resolved' END AS status
   FROM r ASOF LEFT JOIN f ON r.url_key = f.url_key AND r.ts > f.ts)
