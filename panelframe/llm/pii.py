@@ -1,13 +1,15 @@
 """Personal data: fixed formats plus bootstrapped contextual extraction, all in Catalyst expressions.
 
-Base spans come from four patterns. They are the seeds: the words before a seed make a lexical
-pattern, patterns and the candidate identifiers they precede form a weighted bipartite graph, and a
-few rounds of scoring tell which patterns stand before identifiers only. High-confidence patterns
-then mark identifiers that no base pattern knows (kind `ctx`).
+Base spans come from four patterns. They, and tokens of the shape of keys, are the seeds. What stands around a value makes its lexical
+patterns: the two words before it, the one before it, and four letters it begins with. Patterns and the candidate identifiers they mark
+form a weighted bipartite graph, and a few rounds of scoring tell which patterns mark identifiers only. High-confidence patterns
+then discover identifiers that no base pattern knows (kind `ctx`).
 
 Positions are code points, end exclusive. They are found without leaving the JVM: split() gives the
 text between matches, regexp_extract_all() the matches, and running sums of their lengths give the
-offsets. Null text counts as empty: no span. Null doc_id stays null. Repeated rows are judged independently.
+offsets. Null text counts as empty: no span. Null doc_id stays null. Repeated rows are judged independently, and of equal values one counts
+in the graph. Very long texts are searched whole. An empty table gives an empty table. Extra columns are kept as they are; those named like
+a result (email, ip, card, phone, ctx) are replaced by it.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import discard, staged
 
 KINDS = ("email", "ip", "card", "phone")
 #: The fixed formats as Java patterns that cannot backtrack far: runs are possessive, and a match may
@@ -27,8 +29,11 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: A candidate identifier: a token of 6 to 64 signs with a digit, and the words before it.
-CANDIDATE = r"(?<![^\s])[A-Za-z@._:/#+-]{0,63}+[0-9][A-Za-z0-9@._:/#+-]{4,63}+(?![^\s])"
+#: Signs of a candidate identifier: a token of at least six with a digit, without the punctuation it ends with.
+SIGNS = "A-Za-z0-9@._:/#+-"
+CANDIDATE = rf"(?<![{SIGNS}])(?=[{SIGNS}]{{6}})[A-Za-z@._:/#+-]*+[0-9](?:[{SIGNS}]*[A-Za-z0-9])?"
+#: The shape of keys: letters and digits mixed, sixteen or more. Such candidates are seeds beside the fixed formats.
+KEY_SHAPE = r"^(?=(?:[^0-9]*[0-9]){2})(?=(?:[^A-Za-z]*[A-Za-z]){2})[A-Za-z0-9]{16,}$"
 CONTEXT_CHARS = 48
 #: Rounds of scoring; how sure a pattern must be; how many different seeds it must precede.
 ROUNDS, MIN_CONFIDENCE, MIN_SEEDS = 3, 0.8, 3
@@ -106,27 +111,32 @@ def _marked(kind: str):
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """docs with text made non-null, an array column for each kind, and `token`, the candidate identifiers."""
+    """docs (text, others) with text made non-null, an array column for each kind, and `token`, the candidate identifiers."""
     out = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("digits", F.rlike("text", F.lit("[0-9]")))
     needs = {k: F.contains("text", F.lit(v)) & (F.lit(True) if k == "email" else F.col("digits")) for k, v in NEEDS.items()}
     out = with_matches(out, PATTERNS | {"token": CANDIDATE}, needs | {"token": F.col("digits")})
     return out.withColumns({k: F.when(F.size(k) > 0, F.filter(k, _value_test(VALID[k]))).otherwise(none()) for k in KINDS}).drop("digits")
 
 
-def _context(before: Column) -> Column:
-    """The lexical pattern: the last two words before a value, lower-cased, or null if there are none."""
-    two = F.regexp_extract(before, r"(?:^|\s)([^\s]{1,20}\s+[^\s]{1,20})\s*$", 1)
-    return F.lower(F.regexp_replace(F.nullif(two, F.lit("")), r"\s+", " "))
+def _contexts(before: Column, value: Column) -> Column:
+    """The lexical patterns of a value, lower-cased: the last two words before it, the last one, and the four letters it begins with."""
+    words = F.regexp_extract_all(F.regexp_extract(before, r"(?:\S+\s+)?\S+\s*$", 0), F.lit(r"\S+"), F.lit(0))
+    two = F.when(F.size(words) == 2, F.concat(F.lit("2 "), F.array_join(words, " ")))
+    one = F.when(F.size(words) > 0, F.concat(F.lit("1 "), F.element_at(words, -1)))
+    begins = F.concat(F.lit("0 "), F.nullif(F.regexp_extract(value, "^[A-Za-z]{4}", 0), F.lit("")))
+    return F.transform(F.array_compact(F.array(two, one, begins)), F.lower)
 
 
 def seeds_and_candidates(docs: DataFrame) -> DataFrame:
     """Weighted edges (context, value hash, seed, n) of the pattern-instance graph, aggregated before the shuffle."""
     based = base_spans(docs)
-    def edge(seed: bool):
-        return lambda x: F.struct(_context(x["before"]).alias("context"), F.xxhash64(x["value"]).alias("value"), F.lit(seed).alias("seed"))
 
-    seen = F.concat(*[F.transform(k, edge(True)) for k in KINDS], F.transform("token", edge(False)))
-    edges = based.where(" or ".join(f"size({k}) > 0" for k in (*KINDS, "token"))).select(F.explode(seen).alias("x")).select("x.*").where("context is not null")
+    def edge(seed):
+        return lambda x: F.struct(_contexts(x["before"], x["value"]).alias("contexts"), F.xxhash64(x["value"]).alias("value"), seed(x["value"]).alias("seed"))
+
+    seen = F.concat(*[F.transform(k, edge(lambda v: F.lit(True))) for k in KINDS], F.transform("token", edge(lambda v: F.rlike(v, F.lit(KEY_SHAPE)))))
+    found = based.where(" or ".join(f"size({k}) > 0" for k in (*KINDS, "token"))).select(F.explode(seen).alias("x"))
+    edges = found.select(F.explode("x.contexts").alias("context"), "x.value", "x.seed")
     return edges.groupBy("context", "value").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n"))
 
 
@@ -149,26 +159,30 @@ def confident_patterns(edges: DataFrame, rounds: int = ROUNDS, min_confidence: f
     raise ValueError("rounds must be positive")
 
 
-#: The pattern list goes to every executor up to this many; beyond it the patterns are joined.
-BROADCAST_PATTERNS = 20_000
+#: Up to this many patterns their hashes are part of the plan (eight bytes each); beyond it they are joined. Both ways find the same.
+PLAN_PATTERNS = 20_000
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
     """docs plus an array column for each kind and `ctx`, the identifiers found by their context."""
+    results = (*KINDS, "ctx")
     edges = staged(seeds_and_candidates(docs.select("text")), "pii-edges")
-    patterns = staged(confident_patterns(edges).select("context"), "pii-patterns")
-    based = base_spans(docs)
+    patterns = staged(confident_patterns(edges).select(F.xxhash64("context").alias("pattern")).distinct(), "pii-patterns")
+    discard(edges)
+    based = base_spans(docs.select("text", F.struct(F.lit(0).alias("none"), *[c for c in docs.columns if c not in (*results, "text")]).alias("others"), F.col("text").alias("own")))
     taken = F.concat(*[F.transform(F.col(k), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for k in KINDS])
     free = F.filter("token", lambda x: ~F.exists(taken, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
-    n = patterns.count()
-    if n == 0:
-        return based.withColumn("ctx", none())
-    if n <= BROADCAST_PATTERNS:
-        known = F.broadcast(patterns.agg(F.collect_set("context").alias("known")))
-        return based.crossJoin(known).withColumn("ctx", F.filter(free, lambda x: F.coalesce(F.array_contains("known", _context(x["before"])), F.lit(False)))).drop("known")
-    keyed = based.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    hits = keyed.select("row_key", F.explode(free).alias("x")).withColumn("context", _context(F.col("x.before"))).join(patterns, "context").groupBy("row_key").agg(F.array_sort(F.collect_set("x")).alias("ctx"))
-    return keyed.join(hits, "row_key", "left").drop("row_key").withColumn("ctx", F.coalesce("ctx", none()))
+    hashes = lambda x: F.transform(_contexts(x["before"], x["value"]), lambda c: F.xxhash64(c))
+    based = based.withColumn("token", free)
+    if patterns.count() <= PLAN_PATTERNS:
+        known = [r["pattern"] for r in patterns.collect()]
+        out = based.withColumn("ctx", F.filter("token", lambda x: F.exists(hashes(x), lambda h: h.isin(known)))) if known else based.withColumn("ctx", none())
+    else:
+        keyed = based.withColumn("row", F.monotonically_increasing_id())
+        marked = keyed.select("row", F.explode("token").alias("x")).select("row", "x", F.explode(hashes(F.col("x"))).alias("pattern")).join(patterns, "pattern", "leftsemi")
+        hits = marked.groupBy("row").agg(F.array_sort(F.collect_set("x")).alias("ctx"))
+        out = keyed.join(hits, "row", "left").withColumn("ctx", F.coalesce("ctx", none()))
+    return out.select(*[F.col("own" if c == "text" else f"others.{c}").alias(c) for c in docs.columns if c not in results], *results)
 
 
 def span_list(kinds: tuple[str, ...]) -> Column:
@@ -179,7 +193,7 @@ def span_list(kinds: tuple[str, ...]) -> Column:
 def redact(found: DataFrame) -> Column:
     """The text with every span replaced by its kind in brackets. Of overlapping spans the one that starts first (then the longer) comes first;
     what another has beyond its end is replaced by that one's kind, and a span inside another has no mark of its own."""
-    spans = F.array_sort(F.concat(*[F.transform(F.col(k), _marked(k)) for k in (*KINDS, "ctx")]))
+    spans = F.array_sort(F.concat(*[F.transform(F.col(k), _marked(k)) for k in (*KINDS, "ctx")]))  # none where text is null
 
     def add(acc: Column, x: Column) -> Column:
         between = F.substr(F.col("text"), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
@@ -197,4 +211,5 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(span_list(KINDS), 256).alias("base_sha256"),
         span_list((*KINDS, "ctx")).alias("spans"),
+        sum((F.size(k) for k in (*KINDS, "ctx")), F.lit(0)).cast("long").alias("n_spans"),
     )
