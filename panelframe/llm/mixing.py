@@ -7,8 +7,9 @@ equal rates. A rate depends on p_d and on one small vector for each step, so a s
 (t_d, p_d) and nothing but that vector reaches the driver.
 
 Documents without words have the prior as posterior and add no tokens. Null text counts as empty, null
-doc_id is kept. Repeated rows are rated alike. Labels with a null field are not used; with
-no labels there is one domain `all`. Extra columns are ignored.
+doc_id is kept. Repeated rows are rated alike. Of a doc_id's labels the least domain counts. Labels with a null field are not used; with
+no labels there is one domain `all`. Ties between domains go to the one that sorts first. Very long texts are read whole. An empty table
+gives an empty table. Extra columns are kept as they are; those named like a result (n_words, p, rate, domain) are replaced by it.
 """
 
 from __future__ import annotations
@@ -174,10 +175,14 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float]
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, keep: float = KEEP) -> DataFrame:
-    """docs plus n_words, p and rate."""
-    model = fit(docs, labels)
-    members = staged(posteriors(docs, model).drop("text"), "members")
-    return fit_rates(members, model["domains"], targets, keep).withColumn("domain", F.element_at(F.array(*[F.lit(d) for d in model["domains"]]), F.array_position("p", F.array_max("p")).cast("int")))
+    """docs (but text) plus n_words, p, rate and domain, the likeliest."""
+    results = ("n_words", "p", "rate", "domain")
+    others = [c for c in docs.columns if c not in (*results, "text")]
+    model = fit(docs.select("doc_id", "text"), labels)
+    members = staged(posteriors(docs.select("text", F.struct(F.lit(0).alias("none"), *others).alias("others")), model).select("others", "n_words", "p"), "members")
+    rated = fit_rates(members, model["domains"], targets, keep)
+    domain = F.element_at(F.array(*[F.lit(d) for d in model["domains"]]), F.array_position("p", F.array_max("p")).cast("int"))
+    return rated.select(*[F.col(f"others.{c}").alias(c) for c in others], "n_words", "p", "rate", domain.alias("domain"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
