@@ -2,74 +2,115 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+import json
+import math
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import asdict, dataclass, field
 from datetime import date
+from enum import StrEnum
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def _whole(least: int, **values) -> None:
+    for name, v in values.items():
+        if isinstance(v, bool) or not isinstance(v, int) or v < least:
+            raise ValueError(f"{name} must be a whole number of at least {least}")
+
+
+def _shares(name: str, values: Sequence[float], most: float = math.inf) -> None:
+    if not values or any(not 0 < v <= most or not math.isfinite(v) for v in values):
+        raise ValueError(f"{name} must be positive and finite, and at most {most}")
+
+
 @dataclass(frozen=True)
 class WalkForwardConfig:
-    """Lengths in months. minimum_valid_validation defaults to validation."""
+    """Lengths in months."""
 
-    sample: int
-    validation: int
-    out_of_sample: int
-    embargo: int = 0
-    minimum_valid_validation: int | None = None
-    allow_partial: bool = False
+    initial_sample_months: int = 72
+    validation_months: int = 24
+    oos_months: int = 12
+    refit_on_sample_and_validation: bool = True
+    embargo_months: int = 0
+    minimum_valid_validation_months: int | None = None
 
     def __post_init__(self) -> None:
-        if min(self.sample, self.validation, self.out_of_sample) < 1 or not 0 <= self.embargo < self.sample:
-            raise ValueError("lengths must be positive, and the embargo shorter than the sample")
+        _whole(1, initial_sample_months=self.initial_sample_months, validation_months=self.validation_months, oos_months=self.oos_months)
+        _whole(0, embargo_months=self.embargo_months)
+        if self.embargo_months >= self.initial_sample_months:
+            raise ValueError("the embargo must be shorter than the sample")
+        if self.minimum_valid_validation_months is not None:
+            _whole(self._floor, minimum_valid_validation_months=self.minimum_valid_validation_months)
+            if self.minimum_valid_validation_months > self.validation_months:
+                raise ValueError("minimum_valid_validation_months must not exceed validation_months")
+
+    @property
+    def _floor(self) -> int:
+        """Three quarters of the validation, rounded up."""
+        return -(-3 * self.validation_months // 4)
+
+    @property
+    def effective_minimum_valid_validation_months(self) -> int:
+        return self._floor if self.minimum_valid_validation_months is None else self.minimum_valid_validation_months
+
+    def enough(self, valid_months: int) -> bool:
+        """Whether so many months with a usable validation suffice."""
+        return valid_months >= self.effective_minimum_valid_validation_months
 
     def to_dict(self) -> dict:
-        return asdict(self)
+        return {"frequency": "monthly", "window_mode": "expanding"} | asdict(self) | {"minimum_valid_validation_months": self.effective_minimum_valid_validation_months}
+
+    @classmethod
+    def from_dict(cls, data: Mapping) -> WalkForwardConfig:
+        if data.get("frequency", "monthly") != "monthly" or data.get("window_mode", "expanding") != "expanding":
+            raise ValueError("only monthly expanding windows are known")
+        return cls(**{k: v for k, v in data.items() if k not in ("frequency", "window_mode")})
 
 
 @dataclass(frozen=True)
 class WalkForwardFold:
-    sample: tuple[date, ...]
-    validation: tuple[date, ...]
-    out_of_sample: tuple[date, ...]
+    index: int
+    sample_periods: tuple[date, ...]
+    validation_periods: tuple[date, ...]
+    oos_periods: tuple[date, ...]
+    embargoed_periods: tuple[date, ...] = ()
 
+    @property
     def training_periods(self) -> tuple[date, ...]:
-        return self.sample + self.validation
+        """The sample without its embargoed end."""
+        return self.sample_periods[: len(self.sample_periods) - len(self.embargoed_periods)]
 
 
-def expanding_walk_forward(periods: Sequence[date], config: WalkForwardConfig) -> list[WalkForwardFold]:
-    """The sample grows by out_of_sample months a fold; its last `embargo` months are left out."""
-    periods = sorted(set(periods))
-    folds, end = [], config.sample
-    while end + config.validation < len(periods):
-        valid = periods[end : end + config.validation]
-        out = periods[end + config.validation : end + config.validation + config.out_of_sample]
-        if len(out) < config.out_of_sample and not config.allow_partial:
-            break
-        folds.append(WalkForwardFold(tuple(periods[: end - config.embargo]), tuple(valid), tuple(out)))
-        end += config.out_of_sample
-    return folds
+def expanding_walk_forward(periods: Iterable[date], config: WalkForwardConfig, *, include_incomplete_oos: bool = False) -> tuple[WalkForwardFold, ...]:
+    """The sample grows by oos_months a fold. The last fold may be out of sample for less if include_incomplete_oos."""
+    months = sorted(set(periods))
+    n, step, folds = config.validation_months, config.oos_months, []
+    for end in itertools.count(config.initial_sample_months, step):
+        out = months[end + n : end + n + step]
+        if not out or len(out) < step and not include_incomplete_oos:
+            return tuple(folds)
+        folds.append(WalkForwardFold(len(folds), tuple(months[:end]), tuple(months[end : end + n]), tuple(out), tuple(months[end - config.embargo_months : end])))
 
 
 @dataclass(frozen=True)
 class LabelBoundary:
     """Dates around a label; validate() rejects any look ahead."""
 
-    feature: date
-    prediction: date
-    execution: date
-    label_start: date
-    label_end: date
-    available: date
-    fit_cutoff: date
+    feature_date: date
+    prediction_date: date
+    execution_date: date
+    label_start_date: date
+    label_end_date: date
+    label_available_date: date
+    model_fit_cutoff: date
 
     def validate(self) -> None:
-        if not self.feature <= self.prediction < self.execution == self.label_start < self.label_end:
-            raise ValueError("feature <= prediction < execution = label_start < label_end must hold")
-        if not self.available < self.fit_cutoff:
+        if not self.feature_date <= self.prediction_date < self.execution_date == self.label_start_date < self.label_end_date:
+            raise ValueError("feature <= prediction < execution = label start < label end must hold")
+        if not self.label_available_date < self.model_fit_cutoff:
             raise ValueError("labels must be available before the fit")
 
 
@@ -79,30 +120,60 @@ def equal_period_weights(df: DataFrame, period: str = "time") -> DataFrame:
     return df.join(F.broadcast(counts), period)
 
 
-@dataclass
+@dataclass(frozen=True)
 class RmsScaler:
-    """Divides by the weighted root mean square, without centring; drops zero and non-finite columns."""
+    """Divides by the weighted root mean square, without centring, so zeros stay zeros. Columns without a positive finite one are dropped, with the reason."""
+
+    feature_names: tuple[str, ...]
+    scales: dict[str, float]
+    dropped_columns: dict[str, str] = field(default_factory=dict)
 
-    scales: dict[str, float] = field(default_factory=dict)
+    #: A fixed value of the stored form.
+    METHOD = "weighted_rms_without_centering"
+
+    def __post_init__(self) -> None:
+        names = [*self.scales, *self.dropped_columns]
+        if len(set(self.feature_names)) != len(self.feature_names) or sorted(names) != sorted(self.feature_names):
+            raise ValueError("each feature has a scale or a reason to be dropped, and occurs once")
+        if list(self.scales) != [f for f in self.feature_names if f in self.scales]:
+            raise ValueError("scales must follow the order of the features")
+        if any(not math.isfinite(s) or s <= 0 for s in self.scales.values()) or not all(self.dropped_columns.values()):
+            raise ValueError("scales must be positive and finite, and reasons must be given")
+
+    @property
+    def active_feature_names(self) -> tuple[str, ...]:
+        return tuple(self.scales)
 
     @classmethod
     def fit(cls, df: DataFrame, features: Sequence[str], weight: str | None = None) -> RmsScaler:
         w = F.col(weight) if weight else F.lit(1.0)
-        row = df.agg(*[F.sqrt(F.sum(w * F.col(f) * F.col(f)) / F.sum(w)).alias(f) for f in features]).first()
-        return cls({f: row[f] for f in features if row[f] is not None and np.isfinite(row[f]) and row[f] > 0})
+        total = F.sum(w)
+        row = df.agg(*[F.sqrt(F.sum(w * F.col(f) * F.col(f)) / F.when(total > 0, total)).alias(f"s{i}") for i, f in enumerate(features)]).first()
+        found = {f: math.nan if row[i] is None else row[i] for i, f in enumerate(features)}
+        dropped = {f: "zero_rms" if s == 0 else "non_finite_rms" for f, s in found.items() if not (math.isfinite(s) and s > 0)}
+        return cls(tuple(features), {f: s for f, s in found.items() if f not in dropped}, dropped)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({f: F.col(f) / F.lit(s) for f, s in self.scales.items()})
+        """Scaled columns; the dropped ones go."""
+        return df.withColumns({f: F.col(f) / F.lit(s) for f, s in self.scales.items()}).drop(*self.dropped_columns)
 
-    def restore(self, coefficients: dict[str, float]) -> dict[str, float]:
-        return {f: coefficients[f] / s for f, s in self.scales.items()}
+    def restore(self, coefficients: Mapping[str, float]) -> dict[str, float]:
+        """Coefficients of the unscaled features, zero for the dropped ones."""
+        if set(coefficients) != set(self.scales):
+            raise ValueError("there must be a coefficient for each active feature")
+        return {f: coefficients[f] / self.scales[f] if f in self.scales else 0.0 for f in self.feature_names}
 
     def to_dict(self) -> dict:
-        return {"scales": dict(self.scales)}
+        return {"method": self.METHOD, "feature_names": list(self.feature_names), "active_feature_names": list(self.scales), "scales": dict(self.scales), "dropped_columns": dict(self.dropped_columns)}
 
     @classmethod
-    def from_dict(cls, data: dict) -> RmsScaler:
-        return cls(dict(data["scales"]))
+    def from_dict(cls, data: Mapping) -> RmsScaler:
+        if set(data) != {"method", "feature_names", "active_feature_names", "scales", "dropped_columns"} or data["method"] != cls.METHOD:
+            raise ValueError("not a stored scaler of this kind")
+        active = list(data["active_feature_names"])
+        if len(set(active)) != len(active) or set(active) != set(data["scales"]):
+            raise ValueError("active features and scales differ")
+        return cls(tuple(data["feature_names"]), {f: float(data["scales"][f]) for f in active}, dict(data["dropped_columns"]))
 
 
 @dataclass(frozen=True)
@@ -115,26 +186,87 @@ class Gram:
     y: float
     xx: np.ndarray
     xy: np.ndarray
+    yy: float = 0.0
+
+    def error(self, model: ElasticNet) -> float:
+        """The weighted mean squared error of a model on the rows of the sums."""
+        b, c = np.array(model.coefficients), model.intercept
+        return float((self.yy - 2 * c * self.y - 2 * b @ self.xy + c * c * self.weight + 2 * c * (b @ self.x) + b @ self.xx @ b) / self.weight)
 
     @classmethod
     def of(cls, df: DataFrame, features: Sequence[str], target: str, weight: str | None = None) -> Gram:
         w, k = F.col(weight) if weight else F.lit(1.0), len(features)
-        sums = [F.sum(w).alias("w"), F.sum(w * F.col(target)).alias("y")]
+        sums = [F.sum(w).alias("w"), F.sum(w * F.col(target)).alias("y"), F.sum(w * F.col(target) * F.col(target)).alias("yy")]
         sums += [F.sum(w * F.col(f)).alias(f"x{i}") for i, f in enumerate(features)] + [F.sum(w * F.col(f) * F.col(target)).alias(f"t{i}") for i, f in enumerate(features)]
         sums += [F.sum(w * F.col(features[i]) * F.col(features[j])).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
         r = df.agg(*sums).first()
         xx = np.array([[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
-        return cls(tuple(features), r["w"], np.array([r[f"x{i}"] for i in range(k)], float), r["y"], xx, np.array([r[f"t{i}"] for i in range(k)], float))
+        return cls(tuple(features), r["w"], np.array([r[f"x{i}"] for i in range(k)], float), r["y"], xx, np.array([r[f"t{i}"] for i in range(k)], float), r["yy"])
 
 
 def alpha_max(gram: Gram, l1_ratio: float) -> float:
     """The least penalty with which all coefficients are zero."""
-    return float(np.abs(gram.xy - gram.x * gram.y / gram.weight).max() / gram.weight / l1_ratio)
+    _shares("l1_ratio", [l1_ratio], 1.0)
+    found = float(np.abs(gram.xy - gram.x * gram.y / gram.weight).max(initial=0.0) / gram.weight / l1_ratio)
+    if not math.isfinite(found):
+        raise ValueError("the sums are not finite")
+    return found
 
 
-def candidates(gram: Gram, alphas: Sequence[float], l1_ratios: Sequence[float], relative: bool = True) -> list[tuple[float, float]]:
-    """(alpha, l1_ratio) pairs; relative alphas are shares of alpha_max."""
-    return [(a * alpha_max(gram, r) if relative else a, r) for r in l1_ratios for a in alphas]
+class ElasticNetSearchMode(StrEnum):
+    RELATIVE_ALPHA_PATH = "relative_alpha_path"
+    ABSOLUTE_ALPHA_VALUES = "absolute_alpha_values"
+
+
+@dataclass(frozen=True)
+class ElasticNetConfig:
+    """What to search: shares of alpha_max, or alphas, with each l1_ratio; and when the solver ends."""
+
+    search_mode: ElasticNetSearchMode = ElasticNetSearchMode.RELATIVE_ALPHA_PATH
+    alpha_ratios: tuple[float, ...] = (1.0, 0.3, 0.1, 0.03, 0.01, 0.003, 0.001)
+    l1_ratio_values: tuple[float, ...] = (0.1, 0.5, 0.9)
+    alpha_values: tuple[float, ...] = ()
+    max_iter: int = 10_000
+    tolerance: float = 1e-6
+
+    def __post_init__(self) -> None:
+        for name, make in {"search_mode": ElasticNetSearchMode, "alpha_ratios": tuple, "l1_ratio_values": tuple, "alpha_values": tuple}.items():
+            object.__setattr__(self, name, make(getattr(self, name)))
+        _shares("l1_ratio_values", self.l1_ratio_values, 1.0)
+        if not self.relative:
+            _shares("alpha_values", self.alpha_values)
+        elif self.alpha_values:
+            raise ValueError("alpha_values belong to the search of absolute values")
+        else:
+            _shares("alpha_ratios", self.alpha_ratios, 1.0)
+        _whole(1, max_iter=self.max_iter)
+        _shares("tolerance", [self.tolerance])
+
+    @property
+    def relative(self) -> bool:
+        return self.search_mode is ElasticNetSearchMode.RELATIVE_ALPHA_PATH
+
+    def to_dict(self) -> dict:
+        return {k: list(v) if isinstance(v, tuple) else v for k, v in (asdict(self) | {"search_mode": self.search_mode.value}).items()}
+
+
+@dataclass(frozen=True)
+class ElasticNetCandidate:
+    alpha: float
+    l1_ratio: float
+    alpha_ratio: float | None = None
+
+    @property
+    def selection_key(self) -> tuple[float, float, float]:
+        """Of equally good candidates the least key wins: the stronger penalty, then the larger share of l1."""
+        return -self.alpha, -self.l1_ratio, -(self.alpha_ratio or 0.0)
+
+
+def candidates(config: ElasticNetConfig, gram: Gram) -> tuple[ElasticNetCandidate, ...]:
+    if not config.relative:
+        return tuple(ElasticNetCandidate(a, r) for r in config.l1_ratio_values for a in config.alpha_values)
+    most = {r: alpha_max(gram, r) for r in config.l1_ratio_values}
+    return tuple(ElasticNetCandidate(share * most[r], r, share) for r in config.l1_ratio_values for share in config.alpha_ratios)
 
 
 @dataclass(frozen=True)
@@ -145,11 +277,25 @@ class ElasticNet:
     alpha: float
     l1_ratio: float
     iterations: int
+    converged: bool
+
+    def __post_init__(self) -> None:
+        if len(self.features) != len(self.coefficients) or not all(map(math.isfinite, (self.intercept, self.alpha, *self.coefficients))):
+            raise ValueError("a model has a finite coefficient for each feature, and a finite intercept and penalty")
+        _shares("l1_ratio", [self.l1_ratio], 1.0)
+        _whole(1, iterations=self.iterations)
+        if self.alpha < 0 or not isinstance(self.converged, bool):
+            raise ValueError("the penalty must not be negative, and converged must be a boolean")
 
     @classmethod
-    def fit(cls, gram: Gram, alpha: float, l1_ratio: float, max_iter: int = 1000, tolerance: float = 1e-8) -> ElasticNet:
-        """Coordinate descent on the sums: the intercept, which has no penalty, comes first in each round."""
-        beta, intercept = np.zeros(len(gram.features)), 0.0
+    def fit(cls, gram: Gram, alpha: float, l1_ratio: float, max_iter: int = 10_000, tolerance: float = 1e-6) -> ElasticNet:
+        """Coordinate descent on the sums: the intercept, which has no penalty, comes first in each round and begins at the mean."""
+        _shares("l1_ratio", [l1_ratio], 1.0)
+        _shares("tolerance", [tolerance])
+        _whole(1, max_iter=max_iter)
+        if not 0 <= alpha < math.inf:
+            raise ValueError("alpha must be finite and not negative")
+        beta, intercept, converged = np.zeros(len(gram.features)), gram.y / gram.weight, False
         for round_ in range(1, max_iter + 1):
             new = (gram.y - gram.x @ beta) / gram.weight
             largest, intercept = abs(new - intercept), new
@@ -159,8 +305,9 @@ class ElasticNet:
                 new = np.sign(rho) * max(abs(rho) - alpha * l1_ratio, 0.0) / bottom if bottom > 0 else 0.0
                 largest, beta[j] = max(largest, abs(new - beta[j])), new
             if largest <= tolerance:
+                converged = True
                 break
-        return cls(gram.features, float(intercept), tuple(beta.tolist()), alpha, l1_ratio, round_)
+        return cls(gram.features, float(intercept), tuple(beta.tolist()), float(alpha), float(l1_ratio), round_, converged)
 
     def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
         return df.withColumn(name, sum((F.col(f) * F.lit(b) for f, b in zip(self.features, self.coefficients, strict=True)), F.lit(self.intercept)))
@@ -169,5 +316,50 @@ class ElasticNet:
         return asdict(self)
 
     @classmethod
-    def from_dict(cls, data: dict) -> ElasticNet:
-        return cls(**{**data, "features": tuple(data["features"]), "coefficients": tuple(data["coefficients"])})
+    def from_dict(cls, data: Mapping) -> ElasticNet:
+        if set(data) != set(cls.__dataclass_fields__):
+            raise ValueError("not a stored model of this kind")
+        return cls(**{**data, "features": tuple(data["features"]), "coefficients": tuple(float(b) for b in data["coefficients"])})
+
+
+#: What a stored composer must say of its coverage and its target.
+COVERAGE_KEYS = ("minimum_all_market_observations", "minimum_applicable_coverage", "required_marker_unknown_policy")
+TARGET_KEYS = ("uuid", "revision", "revision_hash", "definition")
+
+
+@dataclass(frozen=True)
+class ElasticNetPredictionComposer:
+    """All settings of an elastic net that is fitted fold by fold, in a form that can be stored; folds and their validation are the caller's."""
+
+    walk_forward: WalkForwardConfig
+    coverage: Mapping
+    target: Mapping
+    elastic_net: ElasticNetConfig
+    validation: Mapping
+
+    def __post_init__(self) -> None:
+        for name, needed in (("coverage", COVERAGE_KEYS), ("target", TARGET_KEYS), ("validation", ("objective",))):
+            given = getattr(self, name)
+            if lacking := [k for k in needed if k not in given]:
+                raise ValueError(f"{name} lacks {lacking}")
+            object.__setattr__(self, name, json.loads(json.dumps(dict(given), allow_nan=False)))
+
+    def to_dict(self) -> dict:
+        own = {k: json.loads(json.dumps(getattr(self, k))) for k in ("coverage", "target", "validation")}
+        scaling = {"method": RmsScaler.METHOD, "fit_scope": "sample_per_fold", "target_scaled": False}
+        return {"kind": "elastic_net", "walk_forward": self.walk_forward.to_dict(), "elastic_net": self.elastic_net.to_dict(), "scaling": scaling, **own}
+
+    @classmethod
+    def from_dict(cls, data: Mapping) -> ElasticNetPredictionComposer:
+        return cls(WalkForwardConfig.from_dict(data["walk_forward"]), data["coverage"], data["target"], ElasticNetConfig(**data["elastic_net"]), data["validation"])
+
+    def candidates(self, gram: Gram) -> tuple[ElasticNetCandidate, ...]:
+        return candidates(self.elastic_net, gram)
+
+    def fit(self, gram: Gram, candidate: ElasticNetCandidate) -> ElasticNet:
+        return ElasticNet.fit(gram, candidate.alpha, candidate.l1_ratio, self.elastic_net.max_iter, self.elastic_net.tolerance)
+
+    def best(self, sample: Gram, validation: Gram) -> tuple[ElasticNetCandidate, ElasticNet]:
+        """The candidate whose model has the least weighted squared error on the validation rows (from their sums alone); selection_key breaks ties."""
+        models = [(c, self.fit(sample, c)) for c in self.candidates(sample)]
+        return min(models, key=lambda cm: (validation.error(cm[1]), cm[0].selection_key))

@@ -18,7 +18,7 @@ from ..functions import kernels
 from ..functions.expressions import (
     asset_order, average_rank, by, clip, dense_percent, gated, ieee_div, nearest_quantiles, nn, number, percent_rank, present, trailing, with_ddof,
 )
-from .registry import composer, transformer
+from .registry import TRANSFORMERS, composer, transformer
 
 
 def _real(x, what: str) -> float:
@@ -401,3 +401,12 @@ def _rolling_cov(a: Column, b: Column, window: int, min_periods: int | None = No
     w, (a, b) = trailing(window), _pair(a, b)
     n = F.count(a).over(w)
     return gated(F.when(n > ddof, F.covar_pop(a, b).over(w) * n / F.when(n > ddof, n - ddof)), a, w, max(least, 1))
+
+
+def pct_change_frame(frame: DataFrame, *, periods: int = 1) -> DataFrame:
+    """pct_change of a bare frame (time, asset_id, value), without a graph."""
+    if isinstance(periods, bool) or not isinstance(periods, int):
+        raise TypeError("periods must be an integer")
+    if periods < 1:
+        raise ValueError("periods must be positive")
+    return TRANSFORMERS.get("pct_change").operation(frame, periods=periods)

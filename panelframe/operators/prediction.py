@@ -1,12 +1,15 @@
 """Supervised prediction composers: alphas, targets and availability dates to causal predictions.
 
 Per-date statistics are computed in Spark, one small row for each period; what a period may learn from
-is decided over these rows (as many as the calendar has dates), and weights go back by a broadcast join.
+is decided in one task over these rows (as many as the calendar has dates), and weights go back by a broadcast join.
+No job runs while a graph is lowered.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -59,14 +62,40 @@ def quantile_rank_information_coefficient(values, targets, quantiles: int) -> fl
     return None if math.isnan(out) else out
 
 
-def available_history(t, periods: list, records: dict, window: int) -> list | None:
-    """The last `window` records usable at t: earlier periods whose targets were known by t, without gaps."""
-    usable = [p for p in periods if p < t and p in records and records[p]["available"] is not None and records[p]["available"] <= t.toordinal()]
-    last = usable[-window:]
-    if len(last) < window:
-        return None
-    at = [periods.index(p) for p in last]
-    return [records[p] for p in last] if at == list(range(at[0], at[0] + window)) else None
+def period_records(joined: DataFrame, measure: Callable[[pd.DataFrame], dict], fields: str) -> DataFrame:
+    """A row for each date: what measure says of its rows, whether it may be learned from (it has a target with a date from which it is known), and that date,
+    which must be one for all of its rows."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("asset_id")
+        trained = bool((pdf["target"].notna() & pdf["available"].notna()).any())
+        known = pdf["available"].dropna().unique()
+        if trained and (len(known) != 1 or not math.isfinite(known[0])):
+            raise ValueError(f"{pdf['time'].iloc[0]}: a training period must have one finite availability date")
+        said = {k: [v] for k, v in measure(pdf).items()}
+        return pd.DataFrame({"time": [pdf["time"].iloc[0]], "trained": [trained], "available": [math.floor(known[0]) if trained else None], **said})
+
+    return joined.groupBy("time").applyInPandas(one, f"time date, trained boolean, available double, {fields}")
+
+
+def over_history(records: DataFrame, window: int, combine: Callable[[list[dict]], list[float] | None]) -> DataFrame:
+    """w: what combine makes of the last `window` periods known at a date; dates without them, or with a gap between them, have no row.
+
+    One task gets a row for each date of the calendar; no job runs before the result is asked for."""
+
+    def every(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, out = pdf.sort_values("time").to_dict("records"), []
+        for at, r in enumerate(rows):
+            today = r["time"].toordinal()
+            known = (i for i in range(at - 1, -1, -1) if rows[i]["trained"] and rows[i]["available"] <= today)
+            last = sorted(itertools.islice(known, window))
+            if len(last) == window and last[-1] - last[0] == window - 1:
+                w = combine([rows[i] for i in last])
+                if w is not None:
+                    out.append((r["time"], rows[last[0]]["time"], rows[last[-1]]["time"], [float(x) for x in w]))
+        return pd.DataFrame(out, columns=["time", "window_start", "window_end", "w"])
+
+    return records.groupBy().applyInPandas(every, "time date, window_start date, window_end date, w array<double>")
 
 
 class PredictionComposer:
@@ -146,28 +175,21 @@ class ICWeighted(PredictionComposer):
         return 1.0
 
     def _predict(self, alphas, targets, available) -> DataFrame:
-        n, metric = self.n_alphas, self._metric()
-
-        def per_period(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("asset_id")
-            known = pdf["available"].dropna().unique()
-            values = [metric(pdf[f"a{i}"].to_numpy(float), pdf["target"].to_numpy(float)) for i in range(n)]
-            return pd.DataFrame({"time": [pdf["time"].iloc[0]], "m": [[math.nan if v is None else v for v in values]], "available": [known[0] if len(known) == 1 else None]})
-
-        rows = self._joined(alphas, targets, available).groupBy("time").applyInPandas(per_period, "time date, m array<double>, available double").collect()
-        records = {r["time"]: r.asDict() for r in rows}
-        periods, weights = sorted(records), []
-        for t in periods:
-            history = available_history(t, periods, records, self._parameters["window"])
-            if history is None:
-                continue
-            age = np.array([self._age_weight(len(history) - 1 - i) for i in range(len(history))])
-            m = np.array([h["m"] for h in history], float)
-            w = [max(float((age * m[:, i]).sum() / age.sum()), 0.0) if np.isfinite(m[:, i]).all() else 0.0 for i in range(n)]
-            if sum(w) > 0:
-                weights.append((t, *w))
-        table = alphas.sparkSession.createDataFrame(weights, "time date" + "".join(f", w{i} double" for i in range(n)))
-        return _weighted(alphas.join(F.broadcast(table), "time"), [F.col(f"w{i}") for i in range(n)])
+        n, metric, age_weight = self.n_alphas, self._metric(), self._age_weight
+
+        def measure(pdf: pd.DataFrame) -> dict:
+            found = [metric(pdf[f"a{i}"].to_numpy(float), pdf["target"].to_numpy(float)) for i in range(n)]
+            return {"m": [math.nan if v is None else v for v in found]}
+
+        def combine(history: list[dict]) -> list[float] | None:
+            age = np.array([age_weight(len(history) - 1 - i) for i in range(len(history))])
+            m = np.array([np.asarray(h["m"], float) for h in history])
+            w = [max(float(age @ m[:, i] / age.sum()), 0.0) if np.isfinite(m[:, i]).all() else 0.0 for i in range(n)]
+            return w if sum(w) > 0 else None
+
+        records = period_records(self._joined(alphas, targets, available), measure, "m array<double>")
+        table = over_history(records, self._parameters["window"], combine)
+        return _weighted(alphas.join(F.broadcast(table), "time"), [F.col("w")[i] for i in range(n)])
 
 
 class ICWeightedDecay(ICWeighted):
@@ -185,58 +207,56 @@ class QuantileICWeighted(ICWeighted):
         return lambda x, y: quantile_rank_information_coefficient(x, y, q)
 
 
-def regression_records(joined: DataFrame, n: int) -> dict:
-    """For each date: status, observations, coefficients (intercept first) and their covariance."""
-
-    def per_period(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf[[f"a{i}" for i in range(n)]].to_numpy(float), pdf["target"].to_numpy(float)
-        ok = np.isfinite(y) & np.isfinite(x).all(axis=1)
-        a, y = np.column_stack((np.ones(ok.sum()), x[ok])), y[ok]
-        known = pdf["available"].dropna().unique()
-        status, beta, cov = "complete", None, None
-        if len(y) <= n + 1:
-            status = "insufficient_observations"
-        elif np.linalg.matrix_rank(a) < n + 1:
-            status = "rank_deficient"
-        else:
-            try:
-                inverse = np.linalg.inv(a.T @ a)
-                b = inverse @ a.T @ y
-                v = inverse * float(((y - a @ b) ** 2).sum() / (len(y) - n - 1))
-                if np.isfinite(b).all() and np.isfinite(v).all():
-                    beta, cov = b.tolist(), v.ravel().tolist()
-                else:
-                    status = "non_finite"
-            except np.linalg.LinAlgError:
-                status = "singular"
-        return pd.DataFrame({"time": [pdf["time"].iloc[0]], "status": [status], "n": [len(y)], "beta": [beta], "cov": [cov], "available": [known[0] if len(known) == 1 else None]})
-
-    rows = joined.groupBy("time").applyInPandas(per_period, "time date, status string, n long, beta array<double>, cov array<double>, available double").collect()
-    return {r["time"]: r.asDict() for r in rows}
-
-
-def _mean_beta(history: list, k: int) -> np.ndarray | None:
+#: Columns of a period's regression on n alphas; beta has the intercept first, cov its covariance by rows.
+REGRESSION = "status string, n long, rank long, condition_number double, r_squared double, residual_standard_error double, beta array<double>, cov array<double>"
+
+
+def regression_records(joined: DataFrame, n: int) -> DataFrame:
+    """The least squares of each date over its assets with finite alphas and target."""
+
+    def measure(pdf: pd.DataFrame) -> dict:
+        both = pdf[[*(f"a{i}" for i in range(n)), "target"]].to_numpy(float)
+        both = both[np.isfinite(both).all(axis=1)]
+        rows, y = len(both), both[:, -1]
+        a = np.hstack((np.ones((rows, 1)), both[:, :-1]))
+        out = dict.fromkeys(("rank", "condition_number", "r_squared", "residual_standard_error", "beta", "cov")) | {"n": rows, "status": "insufficient_observations"}
+        if rows:
+            spread = float(np.linalg.cond(a))
+            out |= {"rank": int(np.linalg.matrix_rank(a)), "condition_number": spread if math.isfinite(spread) else None}
+        if rows <= n + 1:
+            return out
+        if out["rank"] <= n:
+            return out | {"status": "rank_deficient"}
+        try:
+            inverse = np.linalg.inv(a.T @ a)
+        except np.linalg.LinAlgError:
+            return out | {"status": "singular"}
+        b = inverse @ (a.T @ y)
+        left, whole = float(((y - a @ b) ** 2).sum()), float(((y - y.mean()) ** 2).sum())
+        cov = inverse * (left / (rows - n - 1))
+        out |= {"r_squared": 1.0 - left / whole if whole > 0 else None, "residual_standard_error": math.sqrt(left / (rows - n - 1))}
+        fine = np.isfinite(b).all() and np.isfinite(cov).all()
+        return out | ({"status": "complete", "beta": b.tolist(), "cov": cov.ravel().tolist()} if fine else {"status": "non_finite"})
+
+    return period_records(joined, measure, REGRESSION)
+
+
+def _mean_beta(history: list[dict], k: int) -> np.ndarray:
     return np.mean([h["beta"] for h in history], axis=0)
 
 
-def _precision_beta(history: list, k: int) -> np.ndarray | None:
+def _precision_beta(history: list[dict], k: int) -> np.ndarray | None:
     try:
-        inverses = [np.linalg.inv(np.array(h["cov"]).reshape(k, k)) for h in history]
-        out = np.linalg.solve(sum(inverses), sum(i @ np.array(h["beta"]) for i, h in zip(inverses, history, strict=True)))
+        inverses = [np.linalg.inv(np.asarray(h["cov"], float).reshape(k, k)) for h in history]
+        out = np.linalg.solve(sum(inverses), sum(i @ np.asarray(h["beta"], float) for i, h in zip(inverses, history, strict=True)))
     except np.linalg.LinAlgError:
         return None
     return out if np.isfinite(out).all() else None
 
 
-def rolling_premia(records: dict, window: int, combine, k: int) -> list[tuple]:
-    good = {t: r for t, r in records.items() if r["status"] == "complete"}
-    periods, out = sorted(records), []
-    for t in periods:
-        history = available_history(t, periods, good, window)
-        beta = None if history is None else combine(history, k)
-        if beta is not None:
-            out.append((t, *[float(b) for b in beta]))
-    return out
+def rolling_premia(records: DataFrame, window: int, combine, k: int) -> DataFrame:
+    """w: the coefficients that combine makes of a window of periods; none if one of these has no complete regression."""
+    return over_history(records, window, lambda history: combine(history, k) if all(h["status"] == "complete" for h in history) else None)
 
 
 class OLS(PredictionComposer):
@@ -248,8 +268,7 @@ class OLS(PredictionComposer):
     def _predict(self, alphas, targets, available) -> DataFrame:
         n = self.n_alphas
         premia = rolling_premia(regression_records(self._joined(alphas, targets, available), n), self._parameters["window"], self._combine, n + 1)
-        table = alphas.sparkSession.createDataFrame(premia, "time date, b double" + "".join(f", b{i} double" for i in range(n)))
-        return alphas.join(F.broadcast(table), "time").withColumn("value", sum((F.col(f"a{i}") * F.col(f"b{i}") for i in range(n)), F.col("b")))
+        return alphas.join(F.broadcast(premia), "time").withColumn("value", sum((F.col(f"a{i}") * F.col("w")[i + 1] for i in range(n)), F.col("w")[0]))
 
 
 class GLS(OLS):
@@ -260,18 +279,24 @@ class GLS(OLS):
 
 
 def fama_macbeth_ols(alphas: dict[str, DataFrame], targets: DataFrame, available: DataFrame, window: int) -> dict[str, DataFrame]:
-    """prediction, factor_returns, rolling_premia and period_diagnostics as DataFrames."""
-    made = OLS(window=window)
-    made.n_alphas, names = len(alphas), ["intercept", *alphas]
+    """prediction, factor_returns, rolling_premia and period_diagnostics as lazy DataFrames; available holds day numbers (1 is 0001-01-01)."""
+    made, names = OLS(window=window), ["intercept", *alphas]
+    made._check(len(alphas))
+    if any(not isinstance(a, str) or not a.strip() or a == "intercept" for a in alphas):
+        raise ValueError("alphas need names, and `intercept` is taken")
+    made.n_alphas, k = len(alphas), len(names)
     frames = [*alphas.values(), targets, available]
-    spark = targets.sparkSession
     joined = made._joined(wide(frames[:-2]), targets.select(*KEYS, F.col("value").alias("target")), available.select(*KEYS, F.col("value").alias("available")))
-    records = regression_records(joined, len(alphas))
-    returns = [(t, f, float(b)) for t, r in sorted(records.items()) if r["beta"] for f, b in zip(names, r["beta"], strict=True)]
-    premia = [(row[0], f, b) for row in rolling_premia(records, window, _mean_beta, len(names)) for f, b in zip(names, row[1:], strict=True)]
+    since = F.date_add(F.lit("0001-01-01").cast("date"), F.col("available").cast("int") - 1).alias("available_at")
+    records = regression_records(joined, len(alphas)).where("trained")
+    factor = F.array(*[F.lit(x) for x in names])[F.col("i")].alias("factor")
+    error = F.sqrt(F.greatest(F.col("cov")[F.col("i") * (k + 1)], F.lit(0.0))).alias("cross_sectional_standard_error")
+    returns = records.where("beta is not null").select("time", since, "cov", F.posexplode("beta").alias("i", "coefficient"))
+    premia = rolling_premia(regression_records(joined, len(alphas)), window, _mean_beta, k).select("time", "window_start", "window_end", F.posexplode("w").alias("i", "mean_coefficient"))
+    measured = ["rank", "condition_number", "r_squared", "residual_standard_error"]
     return {
         "prediction": made.predict(frames),
-        "factor_returns": spark.createDataFrame(returns, "time date, factor string, value double"),
-        "rolling_premia": spark.createDataFrame(premia, "time date, factor string, value double"),
-        "period_diagnostics": spark.createDataFrame([(t, r["status"], r["n"]) for t, r in sorted(records.items())], "time date, status string, observations long"),
+        "factor_returns": returns.select("time", "available_at", factor, "coefficient", error),
+        "rolling_premia": premia.select("time", "window_start", "window_end", factor, "mean_coefficient"),
+        "period_diagnostics": records.select("time", since, "status", F.col("n").alias("observation_count"), F.lit(len(alphas)).cast("long").alias("feature_count"), *measured),
     }

@@ -79,11 +79,13 @@ def composer(name: str, *, arity: int | None = 2, dense: bool = False, frame: bo
     return register
 
 
-def custom_transformer(name: str, contract: Contract | None = None):
-    """Registers a user's DataFrame -> DataFrame function; it gets dense input and its output is cut to the domain."""
+def custom_transformer(name: str, contract: Contract | None = None, *, panels: tuple[str, ...] = (), many: str | None = None):
+    """Registers a user's DataFrame -> DataFrame function; it gets dense input and its output is cut to the domain.
+
+    panels name keyword arguments that are panels, many one that is a list of them; the function gets them as DataFrames on the keys of its input."""
 
     def register(f: Callable) -> Operator:
-        op = Operator(name, "transformer", contract or Contract(), None, f, builtin=False)
+        op = Operator(name, "transformer", contract or Contract(), None, f, tuple(panels), many, builtin=False)
         TRANSFORMERS[name] = op
         return op
 

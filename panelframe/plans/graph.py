@@ -147,7 +147,12 @@ def lower_operator(op: Operator, plans: list[Plan], params: dict, literals: dict
         done = op.frame(own, **params)
     else:
         frames = [wide.select(*KEYS, F.col(v).alias("value")) for v in values]
-        done = plan.domain.restrict(op.frame(*frames, **params))
+        given = {}
+        if op.kind == "transformer":
+            rest = frames[1:]
+            given = dict(zip(op.panels, rest)) | ({op.many: rest[len(op.panels) :]} if op.many else {})
+            frames = frames[:1]
+        done = plan.domain.restrict(op.frame(*frames, **given, **params))
         if plan.traces and op.contract.trace_function is not None:
             done = op.contract.trace_function(done, own)
         elif plan.traces:
@@ -205,6 +210,8 @@ def make_node(op: Operator, inputs: tuple, params: dict, name: str | None, metad
     else:
         if len(inputs) != 1:
             raise GraphValidationError(f"{op.name} takes one input")
+        if missing := [p for p in (*op.panels, *([op.many] if op.many else [])) if p not in params]:
+            raise GraphValidationError(f"{op.name} needs the panels {missing}")
         extra = [params.pop(p) for p in op.panels]
         if op.many:
             extra += list(params.pop(op.many))
@@ -350,11 +357,18 @@ class GraphSpec:
         for n in data["nodes"]:
             if not isinstance(n, dict) or set(n) - fields or not {"name", "node_type"} <= set(n):
                 raise GraphValidationError(f"a node has the fields {sorted(fields)}")
+            kinds = {"name": str, "node_type": str, "config": dict, "metadata": dict, "inputs": (list, tuple), "panel_parameters": dict}
+            if wrong := [f for f in n if not isinstance(n[f], kinds[f])]:
+                raise GraphValidationError(f"fields of the wrong kind: {wrong}")
+            if not n["name"].strip() or not all(isinstance(x, str) for x in n.get("inputs", ())):
+                raise GraphValidationError("names and inputs are non-blank strings")
         spec = cls(tuple(data["outputs"]), tuple({"config": {}, "metadata": {}, "inputs": [], "panel_parameters": {}} | n for n in data["nodes"]))
         spec.validate()
         return spec
 
     def validate(self) -> None:
+        if not self.outputs or not self.nodes:
+            raise GraphValidationError("a spec needs outputs and nodes")
         seen: set[str] = set()
         for n in self.nodes:
             refs = [*n["inputs"], *itertools.chain.from_iterable(v if isinstance(v, (list, tuple)) else [v] for v in n["panel_parameters"].values())]

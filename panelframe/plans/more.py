@@ -29,6 +29,19 @@ def _predicted(make: Callable[[], P.PredictionComposer], n: int = 2) -> Callable
     return query
 
 
+def _fama_macbeth(part: str) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .catalog import panels
+
+        own = panels(spark, sf_dir)
+        target = TRANSFORMERS.get("lag")(own["x"], periods=-1).compute().lazy()
+        known = own["x"].domain.grid().withColumn("value", (F.datediff("time", F.lit("1970-01-01").cast("date")) + 719163 + 31).cast("double"))
+        found = P.fama_macbeth_ols({"x": own["x"].lazy(), "y": own["y"].lazy()}, target, known, 3)[part]
+        return found.select(*[F.round(c, 4).alias(c) if kind == "double" else F.col(c) for c, kind in found.dtypes])
+
+    return query
+
+
 def _domain_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .catalog import panels
 
@@ -54,6 +67,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p_quantile_ic_weighted": _predicted(lambda: P.QuantileICWeighted(window=3, quantiles=3)),
         "p_ols": _predicted(lambda: P.OLS(window=3)),
         "p_gls": _predicted(lambda: P.GLS(window=3)),
+        "fm_factor_returns": _fama_macbeth("factor_returns"),
+        "fm_rolling_premia": _fama_macbeth("rolling_premia"),
+        "fm_period_diagnostics": _fama_macbeth("period_diagnostics"),
         "domain_grid": _domain_membership,
         "ml_elastic_net": _elastic_net,
     }

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -24,6 +25,19 @@ def date_column(df: DataFrame, name: str = "time"):
     return F.expr(f"try_to_date({name}, 'yyyy-MM-dd')") if kind == "string" else F.expr(f"try_cast({name} as date)")
 
 
+def align_frames(*frames: DataFrame, join: str = "inner") -> tuple[DataFrame, ...]:
+    """The frames on their common keys (inner: semi-joins, no frame is widened) or on the keys of any of them (outer: rows that a frame lacks are null)."""
+    if join not in ("inner", "outer"):
+        raise ValueError("join must be inner or outer")
+    if len(frames) < 2:
+        return frames
+    keys = [f.select(*KEYS) for f in frames]
+    if join == "inner":
+        return tuple(reduce(lambda f, k: f.join(k, list(KEYS), "leftsemi"), keys[:i] + keys[i + 1 :], f) for i, f in enumerate(frames))
+    every = reduce(DataFrame.union, keys).distinct()
+    return tuple(every.join(f, list(KEYS), "left") for f in frames)
+
+
 class Domain:
     """A calendar and a universe, static (all pairs) or dynamic (the active pairs of membership).
 
@@ -167,6 +181,10 @@ class Panel:
         self._check(self.frame)
         return self
 
+    @staticmethod
+    def align_frames(*frames: DataFrame, join: str = "inner") -> tuple[DataFrame, ...]:
+        return align_frames(*frames, join=join)
+
     def compute(self, **_) -> Panel:
         return self
 
