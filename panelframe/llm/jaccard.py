@@ -21,6 +21,7 @@ whole. An empty table gives an empty table. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,6 +44,10 @@ SMALL = 8
 MEMBERS = 100
 #: Positions in one block of a long list.
 POSITIONS = 8
+#: Entries of a list that one task decides on; longer lists are dealt by size class and block.
+LIST = 1000
+#: The span of a list that is not dealt by size class.
+WHOLE = -2
 
 
 def _sets(texts: list) -> Iterator[np.ndarray]:
@@ -406,21 +411,37 @@ def derived_links(entries: DataFrame, compared: DataFrame, roots: DataFrame) ->
 
 
 def undecided(entries: DataFrame, compared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of long lists that neither connection nor the centre's answers decide, and that are not both near the centre."""
+    """Pairs of long lists that neither connection nor the centre's answers decide, and that are not both near the centre.
+
+    Linked sets' sizes differ by a factor of 100 / PERCENT at most. So a list of more than LIST entries is dealt into spans: an entry is at
+    home in the span of its size class and visits the one below. A span that is still too long is dealt into blocks, of which
+    every two meet in a task of their own, so a hot shingle's list is shared by many tasks and no pair is left out.
+    """
     entries = staged(entries.select("token", "centre", "sid", "size", "pos").join(roots.withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", "sid")), "rooted")
-    open_lists = entries.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
+    counted = entries.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("n")).where("x <> y")
+    open_lists = staged(counted.select("token", (F.col("n") > LIST).alias("long")), "open-lists")
+    size_class = F.floor(F.log("size") / math.log(100 / (PERCENT - 1))).cast("int")  # a little wider than need be, for rounding
+    spans = F.when(F.col("long"), F.array(size_class, size_class - 1)).otherwise(F.array(F.lit(WHOLE)))
+    visits = F.col("long") & (F.col("span") != size_class)
     near = F.col("only_a").isNotNull().alias("near")
     answers = compared.select("a", "b", "common", near).unionByName(compared.select(F.col("b").alias("a"), F.col("a").alias("b"), "common", near)).toDF("sid", "centre", "common", "near")
-    known = entries.join(open_lists, "token", "leftsemi").join(answers, ["sid", "centre"], "left")
+    known = entries.join(open_lists, "token").join(answers, ["sid", "centre"], "left").withColumn("span", F.explode(spans)).withColumn("visitor", visits)
+    tall = entries.join(open_lists.where("long"), "token").withColumn("span", F.explode(spans)).groupBy("token", "span")
+    homes = tall.agg(F.ceil(F.count(F.lit(1)) / LIST).cast("int").alias("blocks"), F.bool_or(~visits).alias("home"))
+    known = known.join(homes, ["token", "span"], "left").where(F.coalesce("home", F.lit(True))).withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    known = known.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    known = known.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
 
     def decide(table: pa.Table) -> pa.Table:
-        sid, size, pos, root = (table.column(c).to_numpy() for c in ("sid", "size", "pos", "root"))
+        sid, size, pos, root, block = (table.column(c).to_numpy() for c in ("sid", "size", "pos", "root", "block"))
+        visitor = table.column("visitor").to_numpy(zero_copy_only=False)
+        crossing = table.column("low")[0].as_py() != table.column("high")[0].as_py()
         centre = table.column("centre")[0].as_py()
         common = table.column("common").to_numpy(zero_copy_only=False).astype(np.float64)
         common = np.where(sid == centre, size, common)
         near = np.array([bool(x) for x in table.column("near").to_pylist()])
         order = np.lexsort((size, pos // POSITIONS))
-        sid, size, pos, root, common, near = (x[order] for x in (sid, size, pos, root, common, near))
+        sid, size, pos, root, block, visitor, common, near = (x[order] for x in (sid, size, pos, root, block, visitor, common, near))
         cuts = list(equal_runs(pos // POSITIONS))
         most_left = [int((size - pos)[a:b].max()) for a, b in cuts]
         out = []
@@ -432,7 +453,9 @@ def undecided(entries: DataFrame, compared: DataFrame, roots: DataFrame) -> Data
                     continue  # the whole block is skipped: its least size needs more than any of its entries has left
                 low, stop = np.searchsorted(size[a:b], (-(-size[i] * PERCENT // 100), size[i] * 100 // PERCENT + 1))
                 j = np.arange(max(a + low, i + 1), a + stop)
-                j = j[(root[j] != root[i]) & (sid[j] != centre) & ~(near[j] & near[i])]
+                j = j[(root[j] != root[i]) & (sid[j] != centre) & ~(near[j] & near[i]) & ~(visitor[j] & visitor[i])]
+                if crossing:
+                    j = j[block[j] != block[i]]
                 if not len(j):
                     continue
                 need = needed_overlap(size[i], size[j])
@@ -442,7 +465,7 @@ def undecided(entries: DataFrame, compared: DataFrame, roots: DataFrame) -> Data
         found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
         return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
 
-    return known.groupBy("token").applyInArrow(decide, "a long, b long").distinct()
+    return known.groupBy("token", "span", "low", "high").applyInArrow(decide, "a long, b long").distinct()
 
 
 def has_words(text: str = "text") -> F.Column:

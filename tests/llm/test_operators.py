@@ -83,9 +83,23 @@ def test_suffixes(docs, empty):
     assert suffixes.repeated_substrings(empty).count() == 0
 
 
-@pytest.mark.parametrize("small", [8, 1])
-def test_jaccard(docs, empty, small, monkeypatch):
+def test_jaccard_pairs_of_a_dealt_list(spark, monkeypatch):
+    """A dealt list gives the pairs that the whole list gives, whatever the sizes."""
+    rng = random.Random(8)
+    entries = [(7, 10**9, i, rng.randint(1, 60), 0) for i in range(90)]
+    table = spark.createDataFrame(entries, "token long, centre long, sid long, size int, pos int")
+    compared = spark.createDataFrame([], "a long, b long, common long, only_a binary")
+    roots = spark.createDataFrame([], "node long, root long")
+    want = {(a[2], b[2]) for a in entries for b in entries if a[2] < b[2] and 100 * min(a[3], b[3]) >= 85 * max(a[3], b[3])}
+    for most in (1000, 40, 4):
+        monkeypatch.setattr(jaccard, "LIST", most)
+        assert {tuple(r) for r in jaccard.undecided(table, compared, roots).collect()} == want
+
+
+@pytest.mark.parametrize(("small", "most"), [(8, 1000), (1, 1000), (1, 3)])
+def test_jaccard(docs, empty, small, most, monkeypatch):
     monkeypatch.setattr(jaccard, "SMALL", small)  # 1: every list has a centre
+    monkeypatch.setattr(jaccard, "LIST", most)  # 3: lists are dealt by size class and block
     nodes = []
     for d, t, *_ in corpus():
         w = (t or "").encode().lower().split()
