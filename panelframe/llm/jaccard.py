@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import U64, gram_hashes, mix, span_hashes, word_spans
@@ -354,6 +354,11 @@ def centre_pairs(entries: DataFrame) -> DataFrame:
     return entries.where(ok).select(F.least("sid", "centre").alias("a"), F.greatest("sid", "centre").alias("b")).distinct()
 
 
+def _apart(df: DataFrame, *keys: str) -> GroupedData:
+    """df grouped by keys and dealt by all of them: rows that a join dealt by some of the keys would else stay together in one task."""
+    return df.repartition(*keys).groupBy(*keys)
+
+
 def derived_links(entries: DataFrame, compared: DataFrame, roots: DataFrame) -> DataFrame:
     """Links between sets near the same centre, from what each differs in from the centre:
     |x & y| = |c| - |c - x| - |c - y| + |(c - x) & (c - y)| + |(x - c) & (y - c)|, which is exact.
@@ -407,7 +412,7 @@ def derived_links(entries: DataFrame, compared: DataFrame, roots: DataFrame) ->
                     found.append((int(sid[i]), int(sid[j])))
         return pa.table({"a": pa.array([min(f) for f in found], pa.int64()), "b": pa.array([max(f) for f in found], pa.int64())})
 
-    return dealt.groupBy("centre", "low", "high").applyInArrow(solve, "a long, b long")
+    return _apart(dealt, "centre", "low", "high").applyInArrow(solve, "a long, b long")
 
 
 def undecided(entries: DataFrame, compared: DataFrame, roots: DataFrame) -> DataFrame:
@@ -465,7 +470,7 @@ def undecided(entries: DataFrame, compared: DataFrame, roots: DataFrame) -> Data
         found = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
         return pa.table({"a": pa.array(found[0], pa.int64()), "b": pa.array(found[1], pa.int64())})
 
-    return known.groupBy("token", "span", "low", "high").applyInArrow(decide, "a long, b long").distinct()
+    return _apart(known, "token", "span", "low", "high").applyInArrow(decide, "a long, b long").distinct()
 
 
 def has_words(text: str = "text") -> F.Column:
