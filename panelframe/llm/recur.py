@@ -39,7 +39,12 @@ from .common import blocks, bucketed, byte_texts, discard, laid, shuffle_partiti
 COMMON = 24
 #: Windows looked at in one round of numpy calls; a longer text is cut, with overlap.
 CUT = 1 << 19
+#: Bytes of short texts handled in one round: arrays of eight bytes for each stay in the cache.
+ROUND = 1 << 17
 ONE = U64(1)
+#: What keys are sent as. Hashes of whole windows go with their low half only: buckets are chosen by the high half, and a clash
+#: merely adds a candidate, which the exact comparison drops.
+ANCHOR_KEY, WINDOW_KEY = np.dtype("<u8"), np.dtype("<u4")
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -153,9 +158,9 @@ def _dealt(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(which[a]), keys[a:b]
 
 
-def _answer(table: pa.Table, kind_of_answer: int) -> pa.Table:
+def _answer(table: pa.Table, kind_of_answer: int, sent_as: np.dtype) -> pa.Table:
     """A bucket: for each group its keys that occur again; the lowest bit says that a key is common."""
-    groups, packs = table.column("g").to_pylist(), [np.frombuffer(x, U64) for x in table.column("payload").to_pylist()]
+    groups, packs = table.column("g").to_pylist(), [np.frombuffer(x, sent_as).astype(U64) for x in table.column("payload").to_pylist()]
     every = np.sort(np.concatenate(packs) if packs else np.zeros(0, U64))
     bare = every & ~ONE
     first = np.flatnonzero(np.append(True, bare[1:] != bare[:-1])) if len(bare) else np.zeros(0, np.int64)
@@ -170,12 +175,12 @@ def _answer(table: pa.Table, kind_of_answer: int) -> pa.Table:
         hit = known[at] == keys if len(known) else np.zeros(len(keys), bool)
         if hit.any():
             out_g.append(g)
-            out_p.append((keys[hit] | common[at[hit]]).tobytes())
+            out_p.append((keys[hit] | common[at[hit]]).astype(sent_as).tobytes())
     return pa.table({"g": pa.array(out_g, pa.int32()), "kind": pa.array([kind_of_answer] * len(out_g), pa.int32()), "payload": pa.array(out_p, pa.binary())})
 
 
-def _known(messages: pa.Table, which: int) -> np.ndarray:
-    packs = [np.frombuffer(p, U64) for k, p in zip(messages.column("kind").to_pylist(), messages.column("payload").to_pylist(), strict=True) if k == which]
+def _known(messages: pa.Table, which: int, sent_as: np.dtype) -> np.ndarray:
+    packs = [np.frombuffer(p, sent_as).astype(U64) for k, p in zip(messages.column("kind").to_pylist(), messages.column("payload").to_pylist(), strict=True) if k == which]
     return np.sort(np.concatenate(packs)) if packs else np.zeros(0, U64)
 
 
@@ -208,7 +213,7 @@ def _segments(kind: Kind, units: np.ndarray, runs: tuple, anchors: np.ndarray, w
     hot = np.flatnonzero(common)
     if len(hot):
         at, run = _windows_of(runs, hot)
-        ok, _ = _find(windows, gram_hashes(units, kind.window)[at])
+        ok, _ = _find(windows, gram_hashes(units, kind.window)[at].astype(WINDOW_KEY).astype(U64))
         at, run = at[ok], run[ok]
         if len(at):
             new = np.ones(len(at), bool)
@@ -228,15 +233,15 @@ class Recurrence:
         keyed = docs.selectExpr("cast(doc_id as long) doc_id", "text", f"cast(pmod(xxhash64(doc_id, text), {self.groups}) as int) g")
         self.docs = bucketed(keyed, "g", self.parts, "texts")
 
-    def _lookup(self, sent: DataFrame, answer: int) -> DataFrame:
-        return sent.groupBy("bucket").applyInArrow(lambda t: _answer(t, answer), "g int, kind int, payload binary")
+    def _lookup(self, sent: DataFrame, answer: int, sent_as: np.dtype) -> DataFrame:
+        return sent.groupBy("bucket").applyInArrow(lambda t: _answer(t, answer, sent_as), "g int, kind int, payload binary")
 
     def anchors(self) -> DataFrame:
         kind, buckets = self.kind, self.buckets
 
         def send(table: pa.Table) -> pa.Table:
             rows, found, where = rows_of(table), [], []
-            for a, b in blocks(rows.texts):
+            for a, b in blocks(rows.texts, ROUND):
                 runs = anchor_runs(kind, *units_of(kind, rows.texts[a:b]))
                 found.append(runs[3])
                 where.append(runs[0] + a)
@@ -244,16 +249,16 @@ class Recurrence:
             out = [(b, k.tobytes()) for b, k in _dealt(keys, buckets)]
             return _messages([b for b, _ in out], [table.column("g")[0].as_py()] * len(out), [p for _, p in out])
 
-        return self._lookup(self.docs.groupBy("g").applyInArrow(send, "bucket int, g int, payload binary"), 0)
+        return self._lookup(self.docs.groupBy("g").applyInArrow(send, "bucket int, g int, payload binary"), 0, ANCHOR_KEY)
 
     def common_windows(self, anchors: DataFrame) -> DataFrame:
         kind, buckets = self.kind, self.buckets
 
         def send(key: tuple, table: pa.Table, messages: pa.Table) -> pa.Table:
-            known = _known(messages, 0)
+            known = _known(messages, 0, ANCHOR_KEY)
             known = known[(known & ONE) == ONE]
             rows, found, where = rows_of(table), [], []
-            for a, b in blocks(rows.texts) if len(known) else ():
+            for a, b in blocks(rows.texts, ROUND) if len(known) else ():
                 units, begin, end = units_of(kind, rows.texts[a:b])
                 runs = anchor_runs(kind, units, begin, end)
                 hot = np.flatnonzero(_find(known, runs[3])[1])
@@ -262,23 +267,23 @@ class Recurrence:
                     found.append(gram_hashes(units, kind.window)[at])
                     where.append(runs[0][run] + a)
             keys = _distinct(kind, np.concatenate(found), np.concatenate(where), rows.order_ids) if found else np.zeros(0, U64)
-            out = [(b, k.tobytes()) for b, k in _dealt(keys, buckets)]
+            out = [(b, k.astype(WINDOW_KEY).tobytes()) for b, k in _dealt(keys, buckets)]
             return _messages([b for b, _ in out], [key[0].as_py()] * len(out), [p for _, p in out])
 
         sent = self.docs.groupBy("g").cogroup(anchors.groupBy("g")).applyInArrow(send, "bucket int, g int, payload binary")
-        return self._lookup(sent, 1)
+        return self._lookup(sent, 1, WINDOW_KEY)
 
     def segments(self, answers: DataFrame, places: bool) -> DataFrame:
-        """Rows with bucket >= 0 carry distinct segments to a shard; with bucket -1 (if places) where a group has them."""
+        """Rows with bucket >= 0 carry distinct segments to a shard; with bucket -1 - g (if places) where group g has them."""
         kind, shards = self.kind, self.buckets
 
         def send(key: tuple, table: pa.Table, messages: pa.Table) -> pa.Table:
-            anchors, windows = _known(messages, 0), _known(messages, 1)
+            anchors, windows = _known(messages, 0, ANCHOR_KEY), _known(messages, 1, WINDOW_KEY)
             g, rows = key[0].as_py(), rows_of(table)
             index: dict[tuple, int] = {}
             hashes, sizes, contents, least, most, counts = [], [], [], [], [], []
             occ: list[tuple] = []
-            for a, b in blocks(rows.texts) if len(anchors) else ():
+            for a, b in blocks(rows.texts, ROUND) if len(anchors) else ():
                 texts = rows.texts[a:b]
                 units, begin, end = units_of(kind, texts)
                 seg = _segments(kind, units, anchor_runs(kind, units, begin, end), anchors, windows)
@@ -311,17 +316,17 @@ class Recurrence:
                     out_b.append(int(which[own[0]]))
                     out_p.append(pack(own.astype(np.int32), hash_array[own], take(sizes), take(least), take(most), np.minimum(take(counts), 2), take([len(c) for c in contents]), b"".join([contents[i] for i in own])))
                 if places:
-                    out_b.append(-1)
+                    out_b.append(-1 - g)
                     out_p.append(pack(np.array(occ, np.int64), np.array(sizes, np.int64)))
             return _messages(out_b, [g] * len(out_b), out_p)
 
-        return staged(self.docs.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(send, "bucket int, g int, payload binary"), "segments")
+        return self.docs.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(send, "bucket int, g int, payload binary")
 
-    def candidates(self, places: bool) -> DataFrame:
-        """The first three passes."""
+    def candidates(self, places: bool, then: Callable[[DataFrame], DataFrame] = lambda sent: sent, name: str = "segments") -> DataFrame:
+        """The first three passes; what `then` makes of the segments is staged."""
         anchors = staged(self.anchors(), "anchors")
         windows = staged(self.common_windows(anchors), "windows")
-        out = self.segments(anchors.unionByName(windows), places)
+        out = staged(then(self.segments(anchors.unionByName(windows), places)), name)
         discard(anchors, windows)
         return out
 
@@ -341,9 +346,10 @@ class Recurrence:
 
     def run(self, solve: Callable, apply: Callable, schema: str, block: int) -> DataFrame:
         """solve(segments of some anchors) gives an array for each segment; apply(id, text, [(first window, array)]) a row's result."""
-        sent = self.candidates(places=True)
 
-        def decide(table: pa.Table) -> pa.Table:
+        def decide(key: tuple, table: pa.Table) -> pa.Table:
+            if key[0].as_py() < 0:  # a group's places go on as they are
+                return pa.table({"g": table.column("g"), "kind": pa.array([1] * table.num_rows, pa.int32()), "payload": table.column("payload")})
             answers: dict[int, list] = {}
             for part in merged(table, block):
                 for (where, _), verdict in zip(part, solve([x[1] for x in part]), strict=True):
@@ -352,8 +358,8 @@ class Recurrence:
             out = {g: pack(np.array([i for i, _ in x], np.int32), np.concatenate([v for _, v in x])) for g, x in answers.items()}
             return pa.table({"g": pa.array(list(out), pa.int32()), "kind": pa.array([0] * len(out), pa.int32()), "payload": pa.array(list(out.values()), pa.binary())})
 
-        decided = sent.where("bucket >= 0").groupBy("bucket").applyInArrow(decide, "g int, kind int, payload binary")
-        maps = sent.where("bucket = -1").selectExpr("g", "1 as kind", "payload")
+        # The segments go from their groups to the shards in the query that decides them: they are on disk once, as its shuffle.
+        decided = self.candidates(places=True, then=lambda sent: sent.groupBy("bucket").applyInArrow(decide, "g int, kind int, payload binary"), name="decided")
 
         def rows_for(rows: Rows, sent: dict[int, list]) -> list[tuple]:
             verdict, occ, sizes = {}, np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
@@ -369,7 +375,7 @@ class Recurrence:
                 by_row.setdefault(t, []).append((s, verdict[i]))
             return [(rows.ids[t], *apply(rows.ids[t], rows.texts[t], by_row.get(t, []))) for t in range(len(rows.ids))]
 
-        return self.with_messages(decided.unionByName(maps), rows_for, schema)
+        return self.with_messages(decided, rows_for, schema)
 
 
 def merged(table: pa.Table, block: int) -> Iterator[list]:

@@ -7,7 +7,7 @@ import re
 
 import pytest
 
-from panelframe.llm import chat, decontam, jaccard, langid, mixing, phrases, pii, quality, suffixes, warc
+from panelframe.llm import chat, decontam, jaccard, langid, mixing, phrases, pii, quality, recur, suffixes, warc
 
 SCHEMA = "doc_id long, text string, lang string, words int, key string, extra string"
 
@@ -83,6 +83,34 @@ def test_suffixes(docs, empty):
     assert suffixes.repeated_substrings(empty).count() == 0
 
 
+def test_suffixes_keep_segments_once_and_send_half_hashes(spark, monkeypatch):
+    """With a passage in more groups than COMMON: right rows, four bytes for a window, and no table of segments beside their shuffle."""
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    passage, staged, names = text(400), recur.staged, []
+    texts = [(i, text(150) + passage + text(150)) for i in range(160)]
+    count = collections.Counter(t[i : i + 200] for _, t in texts for i in range(len(t) - 199))
+    monkeypatch.setattr(recur, "staged", lambda df, name: names.append(name) or staged(df, name))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        docs = spark.createDataFrame(texts, "doc_id long, text string")
+        got = {r["doc_id"]: r["n_removed"] for r in suffixes.repeated_substrings(docs).collect()}
+        passes = recur.Recurrence(docs, suffixes.BYTES)
+        group = {r["doc_id"]: r["g"] for r in passes.docs.select("doc_id", "g").collect()}
+        sent = sum(len(r["payload"]) for r in passes.common_windows(passes.anchors()).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = {}
+    for d, t in texts:
+        want[d] = len({j for i in range(len(t) - 199) if count[t[i : i + 200]] > 1 for j in range(i, i + 200)})
+    assert got == want
+    again = {(group[d], t[i : i + 200]) for d, t in texts for i in range(len(t) - 199) if count[t[i : i + 200]] > 1}
+    assert len({g for g, _ in again}) > recur.COMMON
+    assert 0 < sent <= 4 * len(again)
+    assert sorted(names) == ["anchors", "decided", "windows"]
+
+
 def test_jaccard_pairs_of_a_dealt_list(spark, monkeypatch):
     """A dealt list gives the pairs that the whole list gives, whatever the sizes."""
     rng = random.Random(8)
