@@ -26,6 +26,13 @@ def ieee_div(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.when(F.isnan(a), number("nan")).otherwise(by_zero)).otherwise(a / F.when(b != 0, b))
 
 
+def rounded(v: Column, digits: int) -> Column:
+    """round() as the catalog's SQL has it: the double times 10**digits, to a whole number, half away from zero. F.round() takes the double's shortest decimal
+    text instead, and ties such as -10731/640 then go the other way. Infinities, NaN and what overflows stay."""
+    scaled = v * number(10**digits)
+    return F.when(F.abs(scaled) < number("inf"), F.round(scaled) / number(10**digits)).otherwise(v)
+
+
 def clip(v: Column, low: Column, high: Column) -> Column:
     """Null bounds or values give the value: greatest() would skip nulls."""
     return F.when(v < low, low).when(v > high, high).otherwise(v)

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expressions import rounded
 from ..operators import builtin  # noqa: F401  registers the operators
 from ..operators.registry import COMPOSERS, TRANSFORMERS
 from ..sources.panel import CategoryPanel, Domain, Panel
@@ -57,7 +58,7 @@ def panels(spark: SparkSession, sf_dir: str) -> dict[str, Panel]:
 
 def result(graph: Graph) -> DataFrame:
     panel = graph.compute()
-    return panel.lazy(dense=True).withColumn("value", F.round("value", 6) + F.lit(0.0))
+    return panel.lazy(dense=True).withColumn("value", rounded(F.col("value"), 6) + F.lit(0.0))
 
 
 def _sql(value: str, source: str = "d", ctes: str = "") -> str:

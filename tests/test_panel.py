@@ -259,3 +259,38 @@ def test_power_query_returns_all_values(spark):
     for key, value in got.items():
         v = x.get(key)
         assert value is None if v is None else value == pytest.approx(power(v), rel=1e-9, abs=1e-6)
+
+
+def sql_values(name, x, y):
+    """The SQL of a query over a panel p(time, asset_id, x, y) with these values instead of lineitem's."""
+    import duckdb
+
+    from panelframe.plans import catalog
+
+    rows = [(f"2024-01-{i + 1:02d}", a, x[a][i], y[a][i]) for a in x for i in range(len(x[a]))]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE given (time VARCHAR, asset_id VARCHAR, x DOUBLE, y DOUBLE)")
+    con.executemany("INSERT INTO given VALUES (?, ?, ?, ?)", rows)
+    sql = catalog.oracles()[name]
+    start, end = sql.index("p AS ("), sql.index("grid AS (")
+    out = {}
+    for _, a, v in con.execute(f"SELECT * FROM ({sql[:start]}p AS (SELECT *, '0' AS g FROM given), {sql[end:]}) ORDER BY time").fetchall():
+        out.setdefault(a, []).append(v)
+    return out
+
+
+def rounded_values(graph):
+    from panelframe.plans import catalog
+
+    out = {}
+    for r in catalog.result(graph).orderBy("time").collect():
+        out.setdefault(r["asset_id"], []).append(r["value"])
+    return out
+
+
+def test_pct_change_rounds_ties_as_its_sql(spark):
+    """Quotients that end in a five at the seventh digit, and infinities."""
+    x = {f"s{q}_{k}": [float(q), float(k)] for q in (640, 1280, 3200, 16000) for k in range(-20000, 20000, 97)} | {"up": [0.0, 3.0], "down": [0.0, -3.0], "none": [0.0, 0.0]}
+    x |= {f"t{k}": [16000.0, float(k)] for k in range(-19779, -18000, 250)}
+    got, want = rounded_values(T("pct_change")(panel(spark, x))), sql_values("t_pct_change", x, x)
+    assert got == want and got["up"][1] == math.inf and got["down"][1] == -math.inf and got["none"][1] is None
