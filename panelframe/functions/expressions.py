@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -81,3 +83,16 @@ def gated(x: Column, v: Column, frame: WindowSpec, least: int) -> Column:
 def with_ddof(v: Column, frame: WindowSpec, ddof: int) -> Column:
     n = F.count(v).over(frame)
     return F.when(n > ddof, F.var_pop(v).over(frame) * n / F.when(n > ddof, n - ddof))
+
+
+def with_var_samp(v: Column, frame: WindowSpec, f: Callable[[Column], Column]) -> Column:
+    """f(var_samp over a frame), in the order of operations of the catalog's SQL: squares grow by (v - new mean) * (v - old mean). F.var_samp() takes
+    (v - mean) * ((v - mean) - (v - mean) / n), whose last bits differ; a quotient at a rounding tie shows them. A row's list is folded once, f is applied in the fold."""
+    start = F.struct(number(0).alias("n"), number(0).alias("mean"), number(0).alias("squares"))
+
+    def grow(s: Column, x: Column) -> Column:
+        n = s["n"] + 1
+        mean = s["mean"] + (x - s["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (s["squares"] + (x - mean) * (x - s["mean"])).alias("squares"))
+
+    return F.aggregate(F.collect_list(v).over(frame), start, grow, lambda s: f(s["squares"] / F.when(s["n"] > 1, s["n"] - 1)))

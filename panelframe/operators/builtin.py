@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.expressions import (
-    asset_order, average_rank, by, clip, dense_percent, gated, ieee_div, nearest_quantiles, nn, number, percent_rank, present, trailing, with_ddof,
+    asset_order, average_rank, by, clip, dense_percent, gated, ieee_div, nearest_quantiles, nn, number, percent_rank, present, trailing, with_ddof, with_var_samp,
 )
 from .registry import TRANSFORMERS, composer, transformer
 
@@ -205,9 +205,9 @@ _ewm("ewm_std", lambda bias=False: bias, np.sqrt)
 transformer("rolling_ewm_fw", dense=True, trace="rolling_max", frame=True)(lambda df, halflife, min_periods=0: _ewm_mean.frame(df, halflife=halflife, min_periods=min_periods))
 
 
-def _kelly(v: Column, window: int) -> Column:
+def _kelly(v: Column, window: int, last=lambda x: x) -> Column:
     w = trailing(_count(window, "window", 2))
-    return gated(ieee_div(F.avg(v).over(w), F.var_samp(v).over(w)), v, w, window)
+    return gated(with_var_samp(v, w, lambda var: last(ieee_div(F.avg(v).over(w), var))), v, w, window)
 
 
 def _steps(df: DataFrame, *steps) -> DataFrame:
@@ -222,7 +222,7 @@ def _zscore(v: Column, *keys: str | Column) -> Column:
 transformer("kelly")(_kelly)
 transformer("kelly_nonan_standardize", frame=True)(lambda df, window: _steps(df, lambda v: F.coalesce(nn(v), number(0)), lambda v: _zscore(v, "time"), lambda v: _kelly(v, window)))
 transformer("kelly_rank_boxcox", frame=True)(lambda df, window, lambda_=0: _steps(df, lambda v: percent_rank(v, "time"), lambda v: F.ln(v) if lambda_ == 0 else (F.pow(v, number(lambda_)) - 1) / number(lambda_), lambda v: _kelly(v, window)))
-transformer("kelly_rescaling_weight")(lambda v, window: clip(_kelly(v, window), number(0), number(1)))
+transformer("kelly_rescaling_weight")(lambda v, window: _kelly(v, window, lambda x: clip(x, number(0), number(1))))
 
 # Cross-section -------------------------------------------------------------------------------
 

@@ -294,3 +294,12 @@ def test_pct_change_rounds_ties_as_its_sql(spark):
     x |= {f"t{k}": [16000.0, float(k)] for k in range(-19779, -18000, 250)}
     got, want = rounded_values(T("pct_change")(panel(spark, x))), sql_values("t_pct_change", x, x)
     assert got == want and got["up"][1] == math.inf and got["down"][1] == -math.inf and got["none"][1] is None
+
+
+def test_kelly_takes_the_variance_in_its_sqls_order(spark):
+    """Windows whose quotient ends in a five at the seventh digit, windows without variance, and holes."""
+    windows = [(14, 30, 14), (66, 82, 66), (-14, -30, -14), (30, 14, 14), (72, 40, 40), (34, 18, 18), (40, 72, 40), (38, 22, 22), (74, 58, 106), (98, 82, 82), (-34, -18, -18), (162, 178, 162), (142, 126, 126), (94, 14, 94), (98, 18, 98)]
+    windows += [(a, b, b) for a in range(-200, 200, 2) for b in (a + 16, a - 16, a + 32, a - 80)] + [(5, 5, 5), (-5, -5, -5), (0, 0, 0), (None, 4, 8)]
+    x = {f"s{i}": [None if v is None else float(v) for v in w] for i, w in enumerate(windows)}
+    got, want = rounded_values(T("kelly")(panel(spark, x), window=3)), sql_values("t_kelly", x, x)
+    assert got == want and [got[f"s{len(windows) - i}"][2] for i in (4, 3, 2, 1)] == [math.inf, -math.inf, None, None]
