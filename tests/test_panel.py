@@ -303,3 +303,16 @@ def test_kelly_takes_the_variance_in_its_sqls_order(spark):
     x = {f"s{i}": [None if v is None else float(v) for v in w] for i, w in enumerate(windows)}
     got, want = rounded_values(T("kelly")(panel(spark, x), window=3)), sql_values("t_kelly", x, x)
     assert got == want and [got[f"s{len(windows) - i}"][2] for i in (4, 3, 2, 1)] == [math.inf, -math.inf, None, None]
+
+
+def test_vol_scale_rounds_ties_as_its_sql(spark):
+    """Quotients that end in a five at the seventh digit, zero volatilities and holes."""
+    tops = [float(k) for k in range(-20000, 20000, 97)]
+    x = {f"s{q}": tops for q in (640, 1280, 3200, 16000)} | {"zero": [3.0, -3.0, 0.0, None], "hole": [3.0, None]}
+    y = {k: [float(k[1:])] * len(v) for k, v in x.items() if k[1:].isdigit()} | {"zero": [0.0] * 4, "hole": [None, 5.0]}
+    # one asset for each value
+    x, y = ({f"{k}_{i}": [v] for k, vs in of.items() for i, v in enumerate(vs)} for of in (x, y))
+    domain = panel(spark, x).domain
+    got = rounded_values(T("vol_scale")(panel(spark, x, domain), volatility=panel(spark, y, domain)))
+    assert got == sql_values("t_vol_scale", x, y)
+    assert [got[f"zero_{i}"][0] for i in range(4)] == [math.inf, -math.inf, None, None] and got["hole_0"] == got["hole_1"] == [None]
